@@ -9,10 +9,14 @@ their tags.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from trackspark.functions import formats, names, paths
 from trackspark.operators import (
     history,
@@ -25,8 +29,8 @@ from trackspark.operators import (
     resolve,
     signals,
 )
-from trackspark.plans import listening
-from trackspark.sources import catalog, incremental
+from trackspark.plans import extract, listening
+from trackspark.sources import catalog, incremental, pcm
 
 DIMS = 64
 SR = 44100
@@ -348,19 +352,39 @@ def signal_mfcc(spark, sf):
     return stats.select("track_id", *[_r(f"{c}_{s}", 4) for c in cols for s in ("mean", "std")])
 
 
-def track_features(spark, sf):
-    """Full-size feature rows; a document's bytes are read as 16-bit samples."""
-    from trackspark.operators.signals import chunk_signals
+def _document_files(spark, sf) -> DataFrame:
+    """Documents as raw audio files: their bytes are 16-bit samples."""
+    content = F.encode("text", "UTF-8")
+    even = F.floor(F.octet_length(content) / 2).cast("int") * 2
+    return _read(spark, sf, "documents").select(
+        F.concat_ws("", F.lit("/docs/"), "doc_id", F.lit(".pcm")).alias("path"),
+        F.octet_length(content).cast("bigint").alias("length"),
+        F.substr(content, F.lit(1), even).alias("content"),
+    )
+
 
-    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("track_id"), "text")
-    hexed = F.hex(F.encode("text", "UTF-8"))
-    pairs = F.floor(F.length(hexed) / 4).cast("int")
-    sample = lambda i: F.conv(
-        F.concat(F.substring("_h", i * 4 + 3, F.lit(2)), F.substring("_h", i * 4 + 1, F.lit(2))), 16, 10
-    ).cast("int")
-    y = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (((sample(i) + 32768) % 65536 - 32768) / 32768.0).cast("float"))
-    sig = docs.withColumn("_h", hexed).withColumn("_n", pairs).where("_n > 0").select("track_id", F.lit(SR).alias("sr"), y.alias("samples"))
-    return signals.track_features(chunk_signals(sig.repartition("track_id")))
+def pcm_ingest(spark, sf):
+    chunk, pad = 1024, 256
+    chunks = pcm.decode_files(_document_files(spark, sf), SR, pad, chunk).where("error is null")
+    # A chunk also carries its surroundings; count every sample in the chunk it belongs to.
+    own = F.slice(
+        "samples",
+        (F.col("start") - F.col("lead") + 1).cast("int"),
+        F.least(F.lit(chunk), F.greatest(F.col("n_samples") - F.col("start"), F.lit(0))).cast("int"),
+    )
+    steps = F.transform(own, lambda x: (x * 32768).cast("bigint"))
+    return (
+        chunks.select("file_path", "sr", "n_samples", F.explode(steps).alias("x"))
+        .groupBy("file_path", "sr", "n_samples")
+        .agg(F.sum("x").alias("total"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .withColumn("duration", F.col("n_samples") / F.col("sr"))
+        .select("file_path", "n_samples", _r("duration"), "total", "low", "high")
+    )
+
+
+def track_features(spark, sf):
+    """Full-size feature rows of all documents read as audio."""
+    return extract.extract_files(_document_files(spark, sf), SR)
 
 
 # --- play log ---------------------------------------------------------------
@@ -444,7 +468,7 @@ _QUERIES = (
     knn_single, knn_join, knn_euclidean, knn_pca_full, knn_pca95, knn_exclude, resolve_song,
     incremental_antijoin, ingest_counts, catalog_attrs, parse_names, tag_defaults,
     format_texts, text_cuts, format_report,
-    signal_rms, signal_zcr, signal_centroid, signal_bandwidth, signal_mfcc, track_features,
+    signal_rms, signal_zcr, signal_centroid, signal_bandwidth, signal_mfcc, pcm_ingest, track_features,
     history50, history_rolling, previous_track, user_queue, top5, auto_advance, next_from_queue,
     playlist_cycle, playlist_first_steps, song_end, mode_islands, mode_at_end,
 )

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackspark.functions.paths import base_name, stem, strip
 from trackspark.operators.skew import HOT_ROWS, hot_join
+from trackspark.session import materialise
 
 GRAM_LENGTHS = (8, 4, 2, 1)
 
@@ -64,15 +65,10 @@ def _text_matches(needles: DataFrame, paths: DataFrame, hot_rows: int) -> DataFr
     wanted = needles.select("needle", "at_end").distinct().withColumn(
         "_len", _gram_length(F.col("needle"))
     )
-    lengths = wanted.agg(F.collect_set("_len")).scalar()  # at most 4 numbers
+    lengths = [r[0] for r in wanted.select("_len").distinct().collect()]  # at most 4 numbers
+    grams = [_grams(F.col("file_path"), F.lit(g)) for g in sorted(lengths)]
     path_grams = paths.select(
-        "_first",
-        "file_path",
-        F.explode(
-            F.array_distinct(
-                F.flatten(F.transform(lengths, lambda g: _grams(F.col("file_path"), g)))
-            )
-        ).alias("gram"),
+        "_first", "file_path", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *grams))).alias("gram")
     )
     how_common = path_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_paths"))
     anchors = (
@@ -123,7 +119,7 @@ def resolve_songs(
         rest = exact.where(F.col("file_path").isNull()).select("song_path")
     else:
         done, rest = None, texts
-    needles = _needles(rest, tiers)
+    needles = materialise(_needles(rest, tiers))
     hits = _text_matches(needles, paths, hot_rows)
     found = (
         needles.join(hits, ["needle", "at_end"])
