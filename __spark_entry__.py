@@ -30,6 +30,7 @@ from trackspark.operators import (
     signals,
 )
 from trackspark.plans import extract, listening
+from trackspark.session import widen
 from trackspark.sources import catalog, incremental, pcm
 
 DIMS = 64
@@ -113,7 +114,7 @@ def _signals(spark, sf) -> DataFrame:
 
 
 def _chunks(spark, sf) -> DataFrame:
-    return signals.chunk_signals(_signals(spark, sf), pad=GRID.frame // 2, chunk=CHUNK)
+    return signals.chunk_signals(widen(_signals(spark, sf)), pad=GRID.frame // 2, chunk=CHUNK)
 
 
 def _micros(c: str = "ts"):
@@ -365,18 +366,22 @@ def _document_files(spark, sf) -> DataFrame:
 
 def pcm_ingest(spark, sf):
     chunk, pad = 1024, 256
-    chunks = pcm.decode_files(_document_files(spark, sf), SR, pad, chunk).where("error is null")
+    chunks = pcm.decode_files(widen(_document_files(spark, sf)), SR, pad, chunk).where("error is null")
     # A chunk also carries its surroundings; count every sample in the chunk it belongs to.
     own = F.slice(
         "samples",
         (F.col("start") - F.col("lead") + 1).cast("int"),
         F.least(F.lit(chunk), F.greatest(F.col("n_samples") - F.col("start"), F.lit(0))).cast("int"),
     )
-    steps = F.transform(own, lambda x: (x * 32768).cast("bigint"))
+    level = lambda x: (x * 32768).cast("bigint")
     return (
-        chunks.select("file_path", "sr", "n_samples", F.explode(steps).alias("x"))
+        chunks.select("file_path", "sr", "n_samples", own.alias("own"))
         .groupBy("file_path", "sr", "n_samples")
-        .agg(F.sum("x").alias("total"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .agg(
+            F.sum(F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + level(x))).alias("total"),
+            F.min(level(F.array_min("own"))).alias("low"),
+            F.max(level(F.array_max("own"))).alias("high"),
+        )
         .withColumn("duration", F.col("n_samples") / F.col("sr"))
         .select("file_path", "n_samples", _r("duration"), "total", "low", "high")
     )

@@ -31,6 +31,7 @@ ROWS_PER_CELL = 50_000
 MAX_CELLS = 1024  # pivots and cell statistics are broadcast: at most 1024 x d doubles
 BLOCK_ROWS = 32_768  # library rows per group
 CHUNK_ROWS = 8_192  # seeds per group
+MAX_PARTITIONS = 20_000
 _TILE = 256  # seeds multiplied at once inside a group
 _SLACK = 1e-9  # covers rounding in bounds and block products; candidates are re-scored
 
@@ -280,6 +281,16 @@ def _meet(index: NeighbourIndex, probes: DataFrame, k: int, drop_self: bool) ->
         asked[r.cell] = r["count"]
     blocks = [max(1, -(-int(n) // BLOCK_ROWS)) for n in index.count]
     chunks = [max(1, -(-int(n) // CHUNK_ROWS)) for n in asked]
+    needed = [int(c) for c in np.nonzero(asked)[0]]
+    cores = probes.sparkSession.sparkContext.defaultParallelism
+    groups = sum(blocks[c] * chunks[c] for c in needed)
+    if groups < cores:  # few groups: smaller ones, so that no core idles
+        finer = -(-cores // max(1, groups))
+        chunks = [min(c * finer, max(1, -(-int(n) // _TILE))) for c, n in zip(chunks, asked)]
+        groups = sum(blocks[c] * chunks[c] for c in needed)
+    # A fixed number of partitions: work per group is large compared with its bytes, so
+    # groups must not be merged by size.
+    parts = max(1, min(groups, MAX_PARTITIONS))
 
     def of_cell(values: list[int]) -> Column:
         return F.get(F.lit(values), F.col("cell"))
@@ -290,7 +301,6 @@ def _meet(index: NeighbourIndex, probes: DataFrame, k: int, drop_self: bool) ->
     seeds = probes.withColumn(
         "chunk", F.pmod(F.xxhash64("query_id"), of_cell(chunks)).cast("int")
     ).withColumn("block", upto(blocks))
-    needed = [int(c) for c in np.nonzero(asked)[0]]
     library = index.rows.where(F.col("cell").isin(needed)) if len(index.count) > 1 else index.rows
     library = library.withColumn(
         "block", F.pmod(F.xxhash64("id"), of_cell(blocks)).cast("int")
@@ -311,6 +321,7 @@ def _meet(index: NeighbourIndex, probes: DataFrame, k: int, drop_self: bool) ->
         return _block_top_k(left, right, k, metric, drop_self, fields)
 
     key = ["cell", "block", "chunk"]
+    seeds, library = seeds.repartition(parts, *key), library.repartition(parts, *key)
     return seeds.groupBy(*key).cogroup(library.groupBy(*key)).applyInArrow(meet, out)
 
 

@@ -14,7 +14,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
     VectorSlicer,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -80,50 +80,42 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[f"_s{i}" for i in range(len(columns))])))
 
 
-def assemble(df: DataFrame, columns: Sequence[str], fill_missing: float | None = None) -> DataFrame:
-    """Add the vector column ``features``; a missing value is an error unless filled.
-
-    The error names the offending column and arises in the task that meets the row, so
-    no extra pass over the table is spent on checking.
-    """
-
-    def number(c: str):
-        v = F.col(c).cast("double")
-        missing = v.isNull() | F.isnan(v)
-        if fill_missing is not None:
-            return F.when(missing, F.lit(float(fill_missing))).otherwise(v)
-        return F.when(missing, F.raise_error(F.lit(f"missing value in feature column {c}"))).otherwise(v)
-
-    return df.withColumn("features", array_to_vector(F.array(*[number(c) for c in columns])))
-
-
 @dataclass(frozen=True)
 class FeatureSpace:
     """A fitted standardise -> weight -> PCA chain; ``transform`` adds ``vector``.
 
-    The stages are Spark ML models. Only the d x d component matrix and d-long
-    statistics live on the driver.
+    ``stages`` are Spark ML models. Only d-long statistics and the d x d component
+    matrix live on the driver.
     """
 
-    pipeline: PipelineModel
+    stages: PipelineModel
     columns: tuple[str, ...]
     weights: tuple[float, ...]
-    n_components: int | None  # None: no PCA
-    explained: float | None
+    n_components: int | None = None  # None: no PCA
+    explained: float | None = None
     fill_missing: float | None = None
 
     def transform(self, df: DataFrame, out: str = "vector") -> DataFrame:
-        """Add ``out`` as ``array<double>``."""
-        ready = assemble(df, self.columns, self.fill_missing)
-        done = self.pipeline.transform(ready)
-        last = self.pipeline.stages[-1].getOrDefault("outputCol")
-        made = {s.getOrDefault("outputCol") for s in self.pipeline.stages} | {"features"}
-        return done.withColumn(out, vector_to_array(last)).drop(*(made - {out}))
+        """Add ``out`` as ``array<double>``. A row with a missing value fails, unless
+        missing values are filled."""
+        made = [s.getOrDefault("outputCol") for s in self.stages.stages]
+        done = self.stages.transform(_filled(df, self.columns, self.fill_missing))
+        return done.withColumn(out, vector_to_array(made[-1])).drop(*[c for c in made if c != out])
+
+
+def _filled(df: DataFrame, columns: Sequence[str], value: float | None) -> DataFrame:
+    return df if value is None else df.na.fill(float(value), list(columns))
 
 
-def _population_factor(n: int) -> float:
-    """Turns division by the sample deviation into division by the population one."""
-    return math.sqrt(n / (n - 1)) if n > 1 else 1.0
+def missing_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns with a null or NaN."""
+    bad = df.agg(
+        *[
+            F.max((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")).alias(f"c{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).head()
+    return [c for i, c in enumerate(columns) if bad[i]]
 
 
 def retained_components(explained: Sequence[float], ratio: float) -> int:
@@ -146,50 +138,51 @@ def fit_feature_space(
     """Fit the chain on the whole table.
 
     ``n_components``: a share of variance in (0, 1), a number of components, or None to
-    skip PCA. Constant columns standardise to zero.
+    skip PCA. Constant columns standardise to zero. Columns with missing values are
+    named in the error unless ``fill_missing`` gives a value for them.
     """
     columns = list(columns) if columns is not None else feature_columns(df)
     if not columns:
         raise ValueError("no numeric feature columns")
-    vectors = assemble(df.select(*columns), columns, fill_missing).select("features")
-    w = column_weights(columns, weights)
-    return _fit_vectors(vectors, tuple(columns), w, n_components, fill_missing)
-
-
-def _fit_vectors(vectors, columns, w, n_components, fill_missing) -> FeatureSpace:
-    n = vectors.count()
+    table = _filled(df.select(*columns), columns, fill_missing)
+    n = table.count()
     if n == 0:
         raise ValueError("no rows to fit on")
-    scaler = StandardScaler(
-        withMean=True, withStd=True, inputCol="features", outputCol="_scaled"
-    ).fit(vectors)
-    factor = _population_factor(n)
+    assembler = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="error")
+    try:
+        vectors = assembler.transform(table).select("_features")
+        scaler = StandardScaler(
+            withMean=True, withStd=True, inputCol="_features", outputCol="_scaled"
+        ).fit(vectors)
+    except Exception as e:
+        holes = missing_columns(table, columns)
+        if holes:
+            raise ValueError(f"missing values in feature columns: {', '.join(holes)}") from e
+        raise
+    # Spark's scaler divides by the sample deviation; this turns it into the population one.
+    factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+    w = column_weights(columns, weights)
     weigh = ElementwiseProduct(
         scalingVec=Vectors.dense([x * factor for x in w]), inputCol="_scaled", outputCol="_weighted"
     )
-    stages = [scaler, weigh]
+    stages = [assembler, scaler, weigh]
     k = explained = None
-    if n_components is not None:
-        weighted = weigh.transform(scaler.transform(vectors))
-        if any(s > 0 for s in scaler.std):
-            pca = PCA(k=len(columns), inputCol="_weighted", outputCol="_rotated").fit(weighted)
-            shares = [float(x) for x in pca.explainedVariance]
-            k = retained_components(shares, n_components) if 0 < n_components < 1 else int(n_components)
-            k = min(k, n, len(columns))
-            explained = sum(shares[:k])
-            stages += [
-                pca,
-                VectorSlicer(inputCol="_rotated", outputCol="_kept", indices=list(range(k))),
-            ]
-        # All columns constant: every row is the zero vector and there is nothing to rotate.
-    return FeatureSpace(
-        PipelineModel(stages), tuple(columns), tuple(w), k, explained, fill_missing
-    )
+    # With all columns constant every row is the zero vector: nothing to rotate.
+    if n_components is not None and any(x > 0 for x in scaler.std):
+        weighted = weigh.transform(scaler.transform(vectors)).select("_weighted")
+        pca = PCA(k=len(columns), inputCol="_weighted", outputCol="_rotated").fit(weighted)
+        shares = [float(x) for x in pca.explainedVariance]
+        k = retained_components(shares, n_components) if 0 < n_components < 1 else int(n_components)
+        k = min(k, n, len(columns))
+        explained = sum(shares[:k])
+        stages.append(pca)
+        stages.append(VectorSlicer(inputCol="_rotated", outputCol="_kept", indices=list(range(k))))
+    return FeatureSpace(PipelineModel(stages), tuple(columns), tuple(w), k, explained, fill_missing)
 
 
 def explode_array(df: DataFrame, array: str, prefix: str, n: int) -> DataFrame:
     """Array column as ``n`` double columns ``prefix0 .. prefix{n-1}``, in place of it."""
     return df.select(
         *[c for c in df.columns if c != array],
-        *[F.col(array)[i].cast("double").alias(f"{prefix}{i}") for i in range(n)],
+        *[F.expr(f"CAST(`{array}`[{i}] AS DOUBLE) AS {prefix}{i}") for i in range(n)],
     )

@@ -148,26 +148,46 @@ def _chunk_rows(batch: pa.RecordBatch, track: str):
         yield i, sr, n, start, lead, flat[offsets[i] : offsets[i + 1]]
 
 
-def _per_chunk(compute, names: Sequence[str], track: str):
-    """Run ``compute(sr, n, start, lead, samples) -> (first_frame, [columns])`` per chunk
-    and emit one row per frame as soon as a chunk is done."""
+def _framewise(compute, names: Sequence[str], track: str, grid: Grid, chunk: int, edges: bool):
+    """Task body: frames of many chunks are transformed together and become one row each.
+
+    ``compute(sr, frames, edge_frames)`` returns the named columns. Frames are handled
+    in batches of bounded size, so neither a long chunk nor many short ones build up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(track)
+            held, held_sr, size = [], None, 0
+
+            def flush():
+                frames = np.concatenate([h[2] for h in held])
+                edged = np.concatenate([h[3] for h in held]) if edges else None
+                rows = np.concatenate([np.full(len(h[2]), h[0]) for h in held])
+                numbers = np.concatenate([np.arange(h[1], h[1] + len(h[2])) for h in held])
+                columns = compute(held_sr, frames, edged)
+                return pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(rows)), pa.array(numbers)]
+                    + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
+                    [track, "frame_no", *names],
+                )
+
             for i, sr, n, start, lead, y in _chunk_rows(b, track):
-                for first, columns in compute(sr, n, start, lead, y):
-                    count = len(columns[0])
-                    if count == 0:
-                        continue
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(np.full(count, i))),
-                            pa.array(np.arange(first, first + count)),
-                            *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-                        ],
-                        [track, "frame_no", *names],
-                    )
+                frames, first = _frames(y, n, start, lead, grid, chunk, edge=False)
+                edged = _frames(y, n, start, lead, grid, chunk, edge=True)[0] if edges else frames
+                if held and sr != held_sr:
+                    yield flush()
+                    held, size = [], 0
+                held_sr = sr
+                for a in range(0, len(frames), _BATCH_FRAMES):
+                    z = frames[a : a + _BATCH_FRAMES]
+                    held.append((i, first + a, z, edged[a : a + _BATCH_FRAMES]))
+                    size += len(z)
+                    if size >= _BATCH_FRAMES:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
 
     return run
 
@@ -182,26 +202,25 @@ def frame_measures(
     """One row per frame: ``track_id, frame_no`` and the asked measures."""
     measures = tuple(measures)
 
-    def compute(sr, n, start, lead, y):
-        zeros, first = _frames(y, n, start, lead, grid, chunk, edge=False)
-        edges = _frames(y, n, start, lead, grid, chunk, edge=True)[0]
-        window = _hann(grid.frame)
-        for a in range(0, len(zeros), _BATCH_FRAMES):
-            z = zeros[a : a + _BATCH_FRAMES]
-            got = {}
-            if "rms" in measures:
-                got["rms"] = np.sqrt(np.einsum("ij,ij->i", z, z) / grid.frame)
-            if "zero_crossing_rate" in measures:
-                got["zero_crossing_rate"] = _zero_crossings(edges[a : a + _BATCH_FRAMES])
-            if "spectral_centroid" in measures or "spectral_bandwidth" in measures:
-                got["spectral_centroid"], got["spectral_bandwidth"] = _centroid_bandwidth(z, sr, window)
-            yield first + a, [got[m] for m in measures]
+    edges = "zero_crossing_rate" in measures
+    spectral = "spectral_centroid" in measures or "spectral_bandwidth" in measures
+    window = _hann(grid.frame)
+
+    def compute(sr, frames, edged):
+        got = {}
+        if "rms" in measures:
+            got["rms"] = np.sqrt(np.einsum("ij,ij->i", frames, frames) / grid.frame)
+        if edges:
+            got["zero_crossing_rate"] = _zero_crossings(edged)
+        if spectral:
+            got["spectral_centroid"], got["spectral_bandwidth"] = _centroid_bandwidth(frames, sr, window)
+        return [got[m] for m in measures]
 
     out = T.StructType(
         [chunks.schema[track], T.StructField("frame_no", T.LongType())]
         + [T.StructField(m, T.DoubleType()) for m in measures]
     )
-    return chunks.mapInArrow(_per_chunk(compute, measures, track), out)
+    return chunks.mapInArrow(_framewise(compute, measures, track, grid, chunk, edges), out)
 
 
 def track_statistics(frames: DataFrame, measures: Sequence[str], track: str = "track_id") -> DataFrame:
@@ -221,18 +240,16 @@ def mel_frames(
     """One row per frame: decibel mel bands, and the frame's loudest band as ``peak``."""
     grid = Grid(mel.frame, mel.hop)
 
-    def compute(sr, n, start, lead, y):
-        frames, first = _frames(y, n, start, lead, grid, chunk, edge=False)
-        window, filters = _hann(mel.frame), mel_matrix(sr, mel).T
-        for a in range(0, len(frames), _BATCH_FRAMES):
-            spec = np.fft.rfft(frames[a : a + _BATCH_FRAMES] * window, axis=1)
-            power = (spec.real**2 + spec.imag**2) @ filters
-            db = 10.0 * np.log10(np.maximum(power, 1e-10))
-            offsets = np.arange(0, db.size + 1, mel.n_mels, dtype=np.int32)
-            yield first + a, [
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(db.ravel())),
-                db.max(axis=1),
-            ]
+    window, filters = _hann(mel.frame), {}
+
+    def compute(sr, frames, _):
+        if sr not in filters:
+            filters[sr] = mel_matrix(sr, mel).T
+        spec = np.fft.rfft(frames * window, axis=1)
+        power = (spec.real**2 + spec.imag**2) @ filters[sr]
+        db = 10.0 * np.log10(np.maximum(power, 1e-10))
+        offsets = np.arange(0, db.size + 1, mel.n_mels, dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(db.ravel())), db.max(axis=1)]
 
     out = T.StructType(
         [
@@ -242,7 +259,7 @@ def mel_frames(
             T.StructField("peak", T.DoubleType()),
         ]
     )
-    return chunks.mapInArrow(_per_chunk(compute, ["bands", "peak"], track), out)
+    return chunks.mapInArrow(_framewise(compute, ["bands", "peak"], track, grid, chunk, False), out)
 
 
 def mfcc_frames(

@@ -44,3 +44,12 @@ def materialise(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread the rows of a scan with fewer splits than cores before costly map work.
+
+    Large tables have enough splits and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -13,7 +13,7 @@ from trackspark.operators.prep import FeatureSpace
 
 def save_space(space: FeatureSpace, path: str, spark: SparkSession) -> None:
     """Write the stages and a one-row sidecar with columns, weights and settings."""
-    space.pipeline.write().overwrite().save(f"{path}/pipeline")
+    space.stages.write().overwrite().save(f"{path}/stages")
     sidecar = {
         "columns": space.columns,
         "weights": space.weights,
@@ -34,7 +34,7 @@ def load_space(path: str, spark: SparkSession) -> FeatureSpace:
         raise ValueError(f"incomplete model at {path}")
     s = json.loads(text.value)
     return FeatureSpace(
-        PipelineModel.load(f"{path}/pipeline"),
+        PipelineModel.load(f"{path}/stages"),
         tuple(s["columns"]),
         tuple(s["weights"]),
         s["n_components"],
