@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackspark.functions.paths import base_name, stem, strip
 from trackspark.operators.skew import HOT_ROWS, hot_join
-from trackspark.session import materialise
+from trackspark.session import materialise, widen
 
 GRAM_LENGTHS = (8, 4, 2, 1)
 
@@ -70,7 +70,7 @@ def _text_matches(needles: DataFrame, paths: DataFrame, hot_rows: int) -> DataFr
     path_grams = paths.select(
         "_first", "file_path", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *grams))).alias("gram")
     )
-    how_common = path_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_paths"))
+    how_common = materialise(path_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_paths")))
     anchors = (
         wanted.select(
             "needle",
@@ -86,8 +86,9 @@ def _text_matches(needles: DataFrame, paths: DataFrame, hot_rows: int) -> DataFr
     fits = F.when(F.col("at_end"), F.endswith("file_path", "needle")).otherwise(
         F.contains("file_path", "needle")
     )
+    counts = how_common.select(F.col("gram").alias("key"), F.col("_paths").alias("n"))
     return (
-        hot_join(path_grams, anchors, "gram", F.col("file_path"), hot_rows=hot_rows)
+        hot_join(path_grams, anchors, "gram", F.col("file_path"), "inner", hot_rows, counts)
         .where(fits)
         .groupBy("needle", "at_end")
         .agg(F.min(F.struct("_first", "file_path")).alias("_hit"))
@@ -107,12 +108,11 @@ def resolve_songs(
     ``order`` is the catalogue column that defines "first"; paths are listed sorted, so
     the path itself is the default.
     """
-    paths = catalog.groupBy("file_path").agg(F.min(order).alias("_first"))
+    paths = widen(catalog.select("file_path", F.col(order).alias("_first")))
     texts = queries.select("song_path").distinct()
     if 1 in tiers:
-        exact = texts.join(
-            paths.select("file_path"), F.col("song_path") == F.col("file_path"), "left"
-        )
+        known = paths.select("file_path").distinct()
+        exact = texts.join(known, F.col("song_path") == F.col("file_path"), "left")
         done = exact.where(F.col("file_path").isNotNull()).select(
             "song_path", "file_path", F.lit(1).alias("tier")
         )

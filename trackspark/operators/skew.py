@@ -24,6 +24,10 @@ MAX_HOT_KEYS = 10_000
 def hot_keys(df: DataFrame, key: str, hot_rows: int, *aggs: Column) -> list[Row]:
     """Keys with more than ``hot_rows`` rows: rows ``key, n`` and the given aggregates."""
     counts = df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    return _largest(counts, hot_rows)
+
+
+def _largest(counts: DataFrame, hot_rows: int) -> list[Row]:
     return (
         counts.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "key").limit(MAX_HOT_KEYS).collect()
     )
@@ -42,14 +46,17 @@ def hot_join(
     spread_by: Column,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose left side may be skewed and whose right side is near unique.
 
     Rows of a hot key on the left are spread over ``ceil(n / hot_rows)`` salts by the
     deterministic expression ``spread_by``; only the right rows of those keys are
-    copied once per salt. ``how`` is ``inner`` or ``left``.
+    copied once per salt. ``how`` is ``inner`` or ``left``. ``counts`` (``key, n``) spares
+    counting the left side where that was done before.
     """
-    hot = [r for r in hot_keys(left, key, hot_rows) if r.key is not None]
+    found = hot_keys(left, key, hot_rows) if counts is None else _largest(counts, hot_rows)
+    hot = [r for r in found if r.key is not None]
     if not hot:
         return left.join(right, key, how)
     schema = T.StructType(
