@@ -21,7 +21,7 @@ def scan_files(
     """Supported files below ``directory`` with their bytes (read only if selected).
 
     Suffixes are matched case-sensitively, as a file system lookup would. Spark skips
-    names that start with ``.`` or ``_``.
+    names that start with ``.`` or ``_`` and files without any bytes.
     """
     try:
         return (
