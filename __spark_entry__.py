@@ -30,7 +30,7 @@ from trackspark.operators import (
     signals,
 )
 from trackspark.plans import extract, listening
-from trackspark.session import widen
+from trackspark.session import ship_package, widen
 from trackspark.sources import catalog, incremental, pcm
 
 DIMS = 64
@@ -41,6 +41,7 @@ CHUNK = 32  # two-and-a-bit chunks per 64-sample signal, so chunk borders are ex
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackspark.functions.paths import base_name, stem, strip
 from trackspark.operators.skew import HOT_ROWS, hot_join
-from trackspark.session import materialise, widen
+from trackspark.session import materialise
 
 GRAM_LENGTHS = (8, 4, 2, 1)
 
@@ -108,7 +108,9 @@ def resolve_songs(
     ``order`` is the catalogue column that defines "first"; paths are listed sorted, so
     the path itself is the default.
     """
-    paths = widen(catalog.select("file_path", F.col(order).alias("_first")))
+    parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Cutting paths into grams is dear per byte: spread them whatever their size.
+    paths = catalog.select("file_path", F.col(order).alias("_first")).repartition(parts, "file_path")
     texts = queries.select("song_path").distinct()
     if 1 in tiers:
         known = paths.select("file_path").distinct()

@@ -25,7 +25,8 @@ from trackspark.operators.skew import HOT_ROWS, hot_join
 from trackspark.session import materialise
 
 CHUNK_SAMPLES = 1 << 19  # about 12 s at 44.1 kHz; a multiple of both hops
-_BATCH_FRAMES = 2048  # frames transformed at once inside a task
+_BLOCK_FRAMES = 64  # frames transformed at once inside a task: stays in the CPU cache
+_BATCH_FRAMES = 8192  # frames that leave a task together
 _TINY = float(np.finfo(np.float32).tiny)
 
 CHUNK_FIELDS = "sr int, n_samples bigint, start bigint, lead bigint, samples array<float>"
@@ -84,40 +85,47 @@ def chunk_signals(
 # --- inside tasks -----------------------------------------------------------
 
 
-def _frames(samples, n, start, lead, grid, chunk, edge: bool):
-    """Frame matrix of a chunk (a view) and the number of its first frame."""
+def _padded(samples, n, start, lead, grid, chunk, edge: bool):
+    """Samples under the frames of a chunk, with the first frame's number and their count."""
     half = grid.frame // 2
     first = -(-start // grid.hop)
     last = min((start + chunk - 1) // grid.hop, n // grid.hop)
     if last < first:
-        return np.zeros((0, grid.frame)), first
+        return np.zeros(0), first, 0
     lo, hi = first * grid.hop - half, last * grid.hop + half
     a, b = max(lo, 0), min(hi, n)
     body = samples[a - lead : b - lead].astype(np.float64)
-    mode = "edge" if edge and len(body) else "constant"
-    buf = np.pad(body, (a - lo, hi - b), mode=mode)
-    windows = np.lib.stride_tricks.sliding_window_view(buf, grid.frame)[:: grid.hop]
-    return windows, first
+    before, after = a - lo, hi - b
+    if before or after:
+        body = np.pad(body, (before, after), mode="edge" if edge and len(body) else "constant")
+    return body, first, last - first + 1
+
+
+def _views(padded: np.ndarray, grid: Grid) -> np.ndarray:
+    if len(padded) < grid.frame:
+        return np.zeros((0, grid.frame))
+    return np.lib.stride_tricks.sliding_window_view(padded, grid.frame)[:: grid.hop]
 
 
 def _hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
-def _zero_crossings(frames: np.ndarray) -> np.ndarray:
-    clipped = np.where(np.abs(frames) <= 1e-10, 0.0, frames)
-    negative = clipped < 0
-    return (negative[:, 1:] != negative[:, :-1]).sum(axis=1) / frames.shape[1]
+def _zero_crossings(padded: np.ndarray, count: int, grid: Grid) -> np.ndarray:
+    """Share of samples per frame whose sign differs from the sample before."""
+    negative = padded < -1e-10
+    turns = np.concatenate([[0], np.cumsum(negative[1:] != negative[:-1])])
+    at = np.arange(count) * grid.hop
+    return (turns[at + grid.frame - 1] - turns[at]) / grid.frame
 
 
 def _centroid_bandwidth(frames: np.ndarray, sr: int, window: np.ndarray):
     mag = np.abs(np.fft.rfft(frames * window, axis=1))
     freq = np.fft.rfftfreq(frames.shape[1], 1.0 / sr)
-    total = mag.sum(axis=1)
-    share = mag / np.where(total < _TINY, 1.0, total)[:, None]
-    centroid = share @ freq
-    spread = (freq[None, :] - centroid[:, None]) ** 2
-    return centroid, np.sqrt(np.einsum("ij,ij->i", share, spread))
+    total, first, second = (mag @ np.stack([np.ones_like(freq), freq, freq**2], axis=1)).T
+    total = np.where(total < _TINY, 1.0, total)
+    centroid = first / total
+    return centroid, np.sqrt(np.maximum(second / total - centroid**2, 0.0))
 
 
 def mel_matrix(sr: int, m: MelSettings) -> np.ndarray:
@@ -148,50 +156,108 @@ def _chunk_rows(batch: pa.RecordBatch, track: str):
         yield i, sr, n, start, lead, flat[offsets[i] : offsets[i + 1]]
 
 
-def _framewise(compute, names: Sequence[str], track: str, grid: Grid, chunk: int, edges: bool):
-    """Task body: frames of many chunks are transformed together and become one row each.
+def packed(m: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values: they cross into the JVM as one copy each."""
+    offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * (8 * m.shape[1]))
+    data = pa.py_buffer(np.ascontiguousarray(m, "<f8"))
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, offsets.buffers()[1], data])
+
+
+def unpacked(column: pa.Array, width: int) -> np.ndarray:
+    """Inverse of :func:`packed`."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width)
+
 
-    ``compute(sr, frames, edge_frames)`` returns the named columns. Frames are handled
-    in batches of bounded size, so neither a long chunk nor many short ones build up.
+def _blocks(frames: np.ndarray):
+    for a in range(0, len(frames), _BLOCK_FRAMES):
+        yield frames[a : a + _BLOCK_FRAMES]
+
+
+def _per_frame(compute, names: Sequence[str], track: str):
+    """Task body: chunk rows in, one row per frame out.
+
+    ``compute(sr, n, start, lead, samples)`` returns the number of the first frame and
+    the named columns. Rows of many short chunks leave the task together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(track)
-            held, held_sr, size = [], None, 0
+            ids, held, size = b.column(track), [], 0
 
             def flush():
-                frames = np.concatenate([h[2] for h in held])
-                edged = np.concatenate([h[3] for h in held]) if edges else None
-                rows = np.concatenate([np.full(len(h[2]), h[0]) for h in held])
-                numbers = np.concatenate([np.arange(h[1], h[1] + len(h[2])) for h in held])
-                columns = compute(held_sr, frames, edged)
+                rows = np.concatenate([np.full(c, i) for i, _, c, _ in held])
+                numbers = np.concatenate([np.arange(f, f + c) for _, f, c, _ in held])
+                columns = [
+                    pa.concat_arrays([h[3][j] for h in held]) if isinstance(held[0][3][j], pa.Array)
+                    else pa.array(np.concatenate([h[3][j] for h in held]))
+                    for j in range(len(names))
+                ]
                 return pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(numbers)]
-                    + [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-                    [track, "frame_no", *names],
+                    [ids.take(pa.array(rows)), pa.array(numbers), *columns], [track, "frame_no", *names]
                 )
 
             for i, sr, n, start, lead, y in _chunk_rows(b, track):
-                frames, first = _frames(y, n, start, lead, grid, chunk, edge=False)
-                edged = _frames(y, n, start, lead, grid, chunk, edge=True)[0] if edges else frames
-                if held and sr != held_sr:
+                first, columns = compute(sr, n, start, lead, y)
+                count = len(columns[0])
+                if count:
+                    held.append((i, first, count, columns))
+                    size += count
+                if size >= _BATCH_FRAMES:
                     yield flush()
                     held, size = [], 0
-                held_sr = sr
-                for a in range(0, len(frames), _BATCH_FRAMES):
-                    z = frames[a : a + _BATCH_FRAMES]
-                    held.append((i, first + a, z, edged[a : a + _BATCH_FRAMES]))
-                    size += len(z)
-                    if size >= _BATCH_FRAMES:
-                        yield flush()
-                        held, size = [], 0
             if held:
                 yield flush()
 
     return run
 
 
+def measures_task(grid: Grid, chunk: int, measures: Sequence[str], track: str):
+    """Task body computing the asked frame measures of chunk rows."""
+    window = _hann(grid.frame)
+    spectral = "spectral_centroid" in measures or "spectral_bandwidth" in measures
+
+    def compute(sr, n, start, lead, y):
+        padded, first, count = _padded(y, n, start, lead, grid, chunk, edge=False)
+        frames, got = _views(padded, grid), {}
+        if "rms" in measures:
+            got["rms"] = np.sqrt(np.einsum("ij,ij->i", frames, frames) / grid.frame)
+        if "zero_crossing_rate" in measures:
+            edged = _padded(y, n, start, lead, grid, chunk, edge=True)[0]
+            got["zero_crossing_rate"] = _zero_crossings(edged, count, grid) if count else np.zeros(0)
+        if spectral:
+            parts = [_centroid_bandwidth(f, sr, window) for f in _blocks(frames)]
+            for j, m in enumerate(("spectral_centroid", "spectral_bandwidth")):
+                got[m] = np.concatenate([p[j] for p in parts] or [np.zeros(0)])
+        return first, [got[m] for m in measures]
+
+    return _per_frame(compute, measures, track)
+
+
+def bands_task(mel: MelSettings, chunk: int, track: str):
+    """Task body computing decibel mel bands of chunk rows."""
+    grid, window, filters = Grid(mel.frame, mel.hop), _hann(mel.frame), {}
+
+    def compute(sr, n, start, lead, y):
+        if sr not in filters:
+            bank = mel_matrix(sr, mel)
+            used = int(np.nonzero(bank.any(axis=0))[0][-1]) + 1 if bank.any() else 1
+            filters[sr] = (used, np.ascontiguousarray(bank[:, :used].T))
+        used, bank = filters[sr]
+        padded, first, _ = _padded(y, n, start, lead, grid, chunk, edge=False)
+        parts = []
+        for f in _blocks(_views(padded, grid)):
+            spec = np.fft.rfft(f * window, axis=1)[:, :used]
+            power = (spec.real**2 + spec.imag**2) @ bank
+            parts.append(10.0 * np.log10(np.maximum(power, 1e-10)))
+        db = np.concatenate(parts) if parts else np.zeros((0, mel.n_mels))
+        return first, [packed(db), db.max(axis=1) if len(db) else np.zeros(0)]
+
+    return _per_frame(compute, ("bands", "peak"), track)
+
+
+# --- frames and statistics --------------------------------------------------
+
+
 def frame_measures(
     chunks: DataFrame,
     grid: Grid = Grid(),
@@ -200,27 +266,11 @@ def frame_measures(
     track: str = "track_id",
 ) -> DataFrame:
     """One row per frame: ``track_id, frame_no`` and the asked measures."""
-    measures = tuple(measures)
-
-    edges = "zero_crossing_rate" in measures
-    spectral = "spectral_centroid" in measures or "spectral_bandwidth" in measures
-    window = _hann(grid.frame)
-
-    def compute(sr, frames, edged):
-        got = {}
-        if "rms" in measures:
-            got["rms"] = np.sqrt(np.einsum("ij,ij->i", frames, frames) / grid.frame)
-        if edges:
-            got["zero_crossing_rate"] = _zero_crossings(edged)
-        if spectral:
-            got["spectral_centroid"], got["spectral_bandwidth"] = _centroid_bandwidth(frames, sr, window)
-        return [got[m] for m in measures]
-
     out = T.StructType(
         [chunks.schema[track], T.StructField("frame_no", T.LongType())]
         + [T.StructField(m, T.DoubleType()) for m in measures]
     )
-    return chunks.mapInArrow(_framewise(compute, measures, track, grid, chunk, edges), out)
+    return chunks.mapInArrow(measures_task(grid, chunk, tuple(measures), track), out)
 
 
 def track_statistics(frames: DataFrame, measures: Sequence[str], track: str = "track_id") -> DataFrame:
@@ -237,54 +287,39 @@ def mel_frames(
     chunk: int = CHUNK_SAMPLES,
     track: str = "track_id",
 ) -> DataFrame:
-    """One row per frame: decibel mel bands, and the frame's loudest band as ``peak``."""
-    grid = Grid(mel.frame, mel.hop)
-
-    window, filters = _hann(mel.frame), {}
-
-    def compute(sr, frames, _):
-        if sr not in filters:
-            filters[sr] = mel_matrix(sr, mel).T
-        spec = np.fft.rfft(frames * window, axis=1)
-        power = (spec.real**2 + spec.imag**2) @ filters[sr]
-        db = 10.0 * np.log10(np.maximum(power, 1e-10))
-        offsets = np.arange(0, db.size + 1, mel.n_mels, dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(db.ravel())), db.max(axis=1)]
-
+    """One row per frame: decibel mel bands (:func:`packed`), and the
+    loudest of them as ``peak``."""
     out = T.StructType(
         [
             chunks.schema[track],
             T.StructField("frame_no", T.LongType()),
-            T.StructField("bands", T.ArrayType(T.DoubleType())),
+            T.StructField("bands", T.BinaryType()),
             T.StructField("peak", T.DoubleType()),
         ]
     )
-    return chunks.mapInArrow(_framewise(compute, ["bands", "peak"], track, grid, chunk, False), out)
+    return chunks.mapInArrow(bands_task(mel, chunk, track), out)
 
 
-def mfcc_frames(
-    chunks: DataFrame,
+def mfcc_of_bands(
+    bands: DataFrame,
     mel: MelSettings = MelSettings(),
-    chunk: int = CHUNK_SAMPLES,
     track: str = "track_id",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per frame with ``mfcc_1 .. mfcc_n``.
 
-    Bands are cut off ``floor_db`` below the loudest band of the whole track, so the
-    track's peak comes first. The band rows feed both that maximum and the transform and
-    are kept in between, which spares a second Fourier pass over the samples.
+    Bands are cut off ``floor_db`` below the loudest band of the whole track. The band
+    rows are read for that maximum and for the transform: pass rows that are kept.
     """
-    bands = materialise(mel_frames(chunks, mel, chunk, track))
     floors = bands.groupBy(track).agg((F.max("peak") - mel.floor_db).alias("floor"))
     names = [f"mfcc_{i}" for i in range(1, mel.n_mfcc + 1)]
+    dct = dct_matrix(mel.n_mfcc, mel.n_mels).T
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dct = dct_matrix(mel.n_mfcc, mel.n_mels).T
         for b in batches:
             if b.num_rows == 0:
                 continue
-            db = b.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            db = unpacked(b.column("bands"), mel.n_mels)
             floor = b.column("floor").to_numpy(zero_copy_only=False)
             c = np.maximum(db, floor[:, None]) @ dct
             yield pa.RecordBatch.from_arrays(
@@ -296,38 +331,64 @@ def mfcc_frames(
         [bands.schema[track], bands.schema["frame_no"]]
         + [T.StructField(m, T.DoubleType()) for m in names]
     )
-    with_floor = hot_join(bands.drop("peak"), floors, track, F.col("frame_no"), hot_rows=hot_rows)
+    with_floor = hot_join(
+        bands.select(track, "frame_no", "bands"), floors, track, F.col("frame_no"), hot_rows=hot_rows
+    )
     return with_floor.select(track, "frame_no", "bands", "floor").mapInArrow(transform, out)
 
 
+def mfcc_frames(
+    chunks: DataFrame,
+    mel: MelSettings = MelSettings(),
+    chunk: int = CHUNK_SAMPLES,
+    track: str = "track_id",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """:func:`mfcc_of_bands` of chunk rows; the bands are kept so that the samples take
+    the Fourier transform only once."""
+    return mfcc_of_bands(materialise(mel_frames(chunks, mel, chunk, track)), mel, track, hot_rows)
+
+
 def placeholder_columns() -> dict[str, Column]:
     """Constant columns that keep the table layout complete."""
     return {name: F.lit(value) for name, value in S.PLACEHOLDERS.items()}
 
 
-def track_features(
-    chunks: DataFrame,
-    grid: Grid = Grid(),
+def feature_rows(
+    durations: DataFrame,
+    measures: DataFrame,
+    bands: DataFrame,
     mel: MelSettings = MelSettings(),
-    chunk: int = CHUNK_SAMPLES,
     track: str = "track_id",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per track with all numeric features, in table order.
 
-    The three aggregates are all partitioned by track, so joining them moves nothing.
+    ``durations`` has one row per track; ``measures`` and ``bands`` one per frame. The
+    aggregates are all partitioned by track, so joining them moves nothing.
     """
-    basics = chunks.groupBy(track).agg(
-        F.max(F.col("n_samples") / F.col("sr")).alias("duration")
-    )
-    measures = track_statistics(frame_measures(chunks, grid, chunk, track=track), S.FRAME_MEASURES, track)
-    mfcc_names = [f"mfcc_{i}" for i in range(1, mel.n_mfcc + 1)]
-    mfcc = track_statistics(mfcc_frames(chunks, mel, chunk, track, hot_rows), mfcc_names, track)
-    rows = basics.join(measures, track).join(mfcc, track).withColumns(placeholder_columns())
+    names = [f"mfcc_{i}" for i in range(1, mel.n_mfcc + 1)]
+    basics = track_statistics(measures, S.FRAME_MEASURES, track)
+    mfcc = track_statistics(mfcc_of_bands(bands, mel, track, hot_rows), names, track)
+    rows = durations.join(basics, track).join(mfcc, track).withColumns(placeholder_columns())
     order = (
         ["duration"]
         + [f"{m}_{s}" for m in S.FRAME_MEASURES for s in ("mean", "std")]
-        + [f"{m}_{s}" for m in mfcc_names for s in ("mean", "std")]
+        + [f"{m}_{s}" for m in names for s in ("mean", "std")]
         + list(S.PLACEHOLDERS)
     )
     return rows.select(track, *order)
+
+
+def track_features(
+    chunks: DataFrame,
+    grid: Grid = Grid(),
+    mel: MelSettings = MelSettings(),
+    chunk: int = CHUNK_SAMPLES,
+    track: str = "track_id",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """:func:`feature_rows` of chunk rows."""
+    durations = chunks.groupBy(track).agg(F.max(F.col("n_samples") / F.col("sr")).alias("duration"))
+    bands = materialise(mel_frames(chunks, mel, chunk, track))
+    return feature_rows(durations, frame_measures(chunks, grid, chunk, track=track), bands, mel, track, hot_rows)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackspark import schema as S
 from trackspark.operators import signals
 from trackspark.sources import catalog, features, incremental, pcm
-from trackspark.session import materialise
+from trackspark.session import materialise, widen
 
 log = logging.getLogger(__name__)
 
@@ -26,6 +30,58 @@ class Extraction:
     errors: int
 
 
+_MEASURE, _BAND = "measure", "band"
+_ROWS = T.StructType(
+    pcm.CHUNK_SCHEMA.fields[:5]
+    + [
+        T.StructField("duration", T.DoubleType()),
+        T.StructField("kind", T.StringType()),  # null for the one row of the file itself
+        T.StructField("frame_no", T.LongType()),
+        *[T.StructField(m, T.DoubleType()) for m in S.FRAME_MEASURES],
+        T.StructField("bands", T.BinaryType()),
+        T.StructField("peak", T.DoubleType()),
+    ]
+)
+
+
+def frame_rows(files: DataFrame, sr: int = S.SAMPLE_RATE, chunk: int = signals.CHUNK_SAMPLES) -> DataFrame:
+    """Listed files (``path, length, content``) as frame rows, in one pass over the bytes.
+
+    Decoding and both frame grids share a task, so samples never travel back to the JVM.
+    Besides its frames, a file has one row with its attributes and ``error``.
+    """
+    named = pcm.named_files(files)
+    decode = pcm.decode_task(sr, S.N_FFT // 2, chunk)
+    measures = signals.measures_task(signals.Grid(), chunk, S.FRAME_MEASURES, "file_path")
+    bands = signals.bands_task(signals.MelSettings(), chunk, "file_path")
+    schema = to_arrow_schema(_ROWS)
+
+    def padded(batch: pa.RecordBatch, kind: str | None) -> pa.RecordBatch:
+        names, n = batch.schema.names, batch.num_rows
+        columns = []
+        for f in schema:
+            if f.name == "kind":
+                columns.append(pa.array([kind] * n, f.type))
+            elif f.name in names:
+                columns.append(batch.column(f.name).cast(f.type))
+            else:
+                columns.append(pa.nulls(n, f.type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in decode(batches):
+            own = b.filter(pc.or_(pc.is_valid(b.column("error")), pc.fill_null(pc.equal(b.column("start"), 0), False)))
+            if own.num_rows:
+                seconds = pc.divide(own.column("n_samples").cast(pa.float64()), own.column("sr").cast(pa.float64()))
+                yield padded(own.append_column("duration", seconds), None)
+            good = b.filter(pc.is_null(b.column("error")))
+            for kind, body in ((_MEASURE, measures), (_BAND, bands)):
+                for out in body(iter([good])):
+                    yield padded(out, kind)
+
+    return named.mapInArrow(task, _ROWS)
+
+
 def extract_files(
     files: DataFrame,
     sr: int = S.SAMPLE_RATE,
@@ -33,19 +89,18 @@ def extract_files(
 ) -> DataFrame:
     """Feature rows of listed files (``path, length, content``) with an ``error`` column.
 
-    Files are spread by path before decoding: listing packs many small files into few
-    splits, and decoding is far dearer than moving the bytes once.
+    Small files are listed many to a split; where that leaves cores idle they are spread
+    before decoding. Frame rows are kept for the three aggregates made of them.
     """
-    spread = files.repartition("path")
-    chunks = materialise(pcm.decode_files(spread, sr, chunk=chunk))
+    rows = materialise(frame_rows(widen(files), sr, chunk))
     attributes = list(S.METADATA_COLUMNS)
-    good = chunks.where(F.col("error").isNull())
-    numbers = signals.track_features(
-        good.select("file_path", "sr", "n_samples", "start", "lead", "samples"),
-        chunk=chunk,
+    numbers = signals.feature_rows(
+        rows.where("kind is null and error is null").select("file_path", "duration"),
+        rows.where(F.col("kind") == _MEASURE).select("file_path", *S.FRAME_MEASURES),
+        rows.where(F.col("kind") == _BAND).select("file_path", "frame_no", "bands", "peak"),
         track="file_path",
     )
-    listed = chunks.where((F.col("start") == 0) | F.col("error").isNotNull()).select(*attributes, "error")
+    listed = rows.where("kind is null").select(*attributes, "error")
     return listed.join(numbers, "file_path", "left").select(*S.FEATURE_COLUMNS, *attributes, "error")
 
 

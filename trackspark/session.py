@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +36,24 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
+_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Drop what :func:`materialise` persisted inside the block when it ends.
+
+    For work that runs again and again in one session, such as micro-batches.
+    """
+    token = _kept.set([])
+    try:
+        yield
+    finally:
+        for df in _kept.get() or []:
+            df.unpersist()
+        _kept.reset(token)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Keep ``df`` so that several consumers do not recompute it.
 
@@ -40,7 +65,10 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if folder is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if _kept.get() is not None:
+            _kept.get().append(kept)
+        return kept
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
@@ -49,7 +77,28 @@ def materialise(df: DataFrame) -> DataFrame:
 def widen(df: DataFrame) -> DataFrame:
     """Spread the rows of a scan with fewer splits than cores before costly map work.
 
-    Large tables have enough splits and are left alone.
+    Large tables have enough splits and are left alone. Only for plans without a shuffle:
+    counting the partitions of others would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application.
+
+    Same effect as submitting with ``--py-files``; needed where the package is neither
+    installed on the workers nor in their start folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(), "trackspark"), "zip", os.path.dirname(here), os.path.basename(here)
+    )
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)

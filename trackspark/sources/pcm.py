@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackspark import schema as S
 from trackspark.functions.paths import base_name, local_path, size_mib, suffix
 from trackspark.operators.signals import CHUNK_SAMPLES
 
 RAW_SUFFIXES = (".pcm", ".raw")
+_BATCH_SAMPLES, _BATCH_ROWS = 1 << 21, 10_000  # a batch leaves the task at either size
 
 CHUNK_SCHEMA = T.StructType(
     [
@@ -56,60 +58,69 @@ def _decode(content: bytes, extension: str, sr: int) -> tuple[np.ndarray, int]:
     return y, rate
 
 
-def decode_files(
-    files: DataFrame,
-    sr: int = S.SAMPLE_RATE,
-    pad: int = S.N_FFT // 2,
-    chunk: int = CHUNK_SAMPLES,
-) -> DataFrame:
-    """Chunk rows of listed files (``path, length, content``).
+ATTRIBUTES = ("file_path", "file_name", "file_extension", "file_size_mb")
 
-    A file that cannot be decoded yields one row with ``error`` and no samples, so that
-    it fails alone. A file leaves its task chunk by chunk.
-    """
+
+def named_files(files: DataFrame) -> DataFrame:
+    """File attributes and ``content`` of listed files (``path, length, content``)."""
     p = local_path("path")
-    named = files.select(
+    return files.select(
         p.alias("file_path"),
         base_name(p).alias("file_name"),
         suffix(p).alias("file_extension"),
         size_mib("length").alias("file_size_mb"),
         "content",
     )
-    attributes = ("file_path", "file_name", "file_extension", "file_size_mb")
-    arrow = pa.schema(
-        [(a, pa.string()) for a in attributes[:3]]
-        + [
-            ("file_size_mb", pa.float64()),
-            ("error", pa.string()),
-            ("sr", pa.int32()),
-            ("n_samples", pa.int64()),
-            ("start", pa.int64()),
-            ("lead", pa.int64()),
-            ("samples", pa.list_(pa.float32())),
-        ]
-    )
 
-    def row(attrs, error=None, rate=None, n=None, start=None, lead=None, y=None):
-        values = [*attrs, error, rate, n, start, lead]
-        arrays = [pa.array([v], f.type) for v, f in zip(values, arrow)]
-        if y is None:
-            arrays.append(pa.array([None], arrow.field("samples").type))
-        else:
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(y)], pa.int32()), pa.array(y)))
-        return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+def decode_task(sr: int, pad: int, chunk: int):
+    """Task body: named files in, chunk rows out.
+
+    A file that cannot be decoded yields one row with ``error`` and no samples, so that
+    it fails alone. A file leaves its task in batches of chunks.
+    """
+    arrow = to_arrow_schema(CHUNK_SCHEMA)
+
+    def batch(rows, arrays):
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)]
+        sizes = [0 if y is None else len(y) for y in arrays]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        flat = np.concatenate([y for y in arrays if y is not None] or [np.zeros(0, np.float32)])
+        missing = pa.array([y is None for y in arrays])
+        columns.append(pa.ListArray.from_arrays(offsets, pa.array(flat), mask=missing))
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, arrays, held = [], [], 0
         for b in batches:
             for i in range(b.num_rows):
-                attrs = [b.column(a)[i].as_py() for a in attributes]
+                attrs = [b.column(a)[i].as_py() for a in ATTRIBUTES]
                 try:
                     y, rate = _decode(b.column("content")[i].as_py(), attrs[2], sr)
                 except Exception as e:  # any fault of this file stays with this file
-                    yield row(attrs, error=str(e) or type(e).__name__)
+                    rows.append((*attrs, str(e) or type(e).__name__, None, None, None, None))
+                    arrays.append(None)
                     continue
                 for start in range(0, len(y) + 1, chunk):
                     lead = max(start - pad, 0)
                     part = y[lead : min(start + chunk + pad, len(y))]
-                    yield row(attrs, None, rate, len(y), start, lead, part)
+                    rows.append((*attrs, None, rate, len(y), start, lead))
+                    arrays.append(part)
+                    held += len(part)
+                    if held >= _BATCH_SAMPLES or len(rows) >= _BATCH_ROWS:
+                        yield batch(rows, arrays)
+                        rows, arrays, held = [], [], 0
+        if rows:
+            yield batch(rows, arrays)
 
-    return named.mapInArrow(decode, CHUNK_SCHEMA)
+    return decode
+
+
+def decode_files(
+    files: DataFrame,
+    sr: int = S.SAMPLE_RATE,
+    pad: int = S.N_FFT // 2,
+    chunk: int = CHUNK_SAMPLES,
+) -> DataFrame:
+    """Chunk rows of listed files (``path, length, content``), failures included."""
+    return named_files(files).mapInArrow(decode_task(sr, pad, chunk), CHUNK_SCHEMA)

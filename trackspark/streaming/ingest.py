@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trackspark import schema as S
 from trackspark.operators import signals
 from trackspark.plans.extract import extract_files
-from trackspark.session import materialise
+from trackspark.session import materialise, releasing
 from trackspark.sources.catalog import name_filter
 
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -50,12 +50,13 @@ def start_extraction(
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rows = materialise(extract_files(batch.select("path", "length", "content"), sr, chunk))
-        good, bad = rows.where("error is null").drop("error"), rows.where("error is not null")
-        good.write.mode("overwrite").parquet(f"{output}/features/batch_id={batch_id}")
-        bad.select("file_path", "error").write.mode("overwrite").parquet(
-            f"{output}/failed/batch_id={batch_id}"
-        )
+        with releasing():
+            rows = materialise(extract_files(batch.select("path", "length", "content"), sr, chunk))
+            good, bad = rows.where("error is null").drop("error"), rows.where("error is not null")
+            good.write.mode("overwrite").parquet(f"{output}/features/batch_id={batch_id}")
+            bad.select("file_path", "error").write.mode("overwrite").parquet(
+                f"{output}/failed/batch_id={batch_id}"
+            )
 
     return (
         file_stream(spark, directory, suffixes, files_per_batch)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trackspark.operators import knn, queue
 from trackspark.plans.listening import neighbours_of_seeds
 from trackspark.schema import OVERFETCH, QUEUE_REQUEST, QUEUE_SIZE
-from trackspark.session import materialise
+from trackspark.session import materialise, releasing
 from trackspark.streaming.history import stream_history
 
 
@@ -31,11 +31,12 @@ def start_queues(
     index = knn.build_index(library, k)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        listeners = materialise(batch.select("user_id", "seed", "history"))
-        near = neighbours_of_seeds(listeners, library, index, k)
-        queue.queues(listeners, near, request, size).select("user_id", "seed", "queue").write.mode(
-            "overwrite"
-        ).parquet(f"{output}/batch_id={batch_id}")
+        with releasing():
+            listeners = materialise(batch.select("user_id", "seed", "history"))
+            near = neighbours_of_seeds(listeners, library, index, k)
+            queue.queues(listeners, near, request, size).select("user_id", "seed", "queue").write.mode(
+                "overwrite"
+            ).parquet(f"{output}/batch_id={batch_id}")
 
     return (
         stream_history(plays)
