@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark import schema as S
+from trackspark import schema as S, session
 from trackspark.plans import extract
 from trackspark.sources import catalog, features, incremental, pcm
 
@@ -95,6 +95,28 @@ def test_directory_runs(spark, library, tmp_path, name):
         assert r.rms_mean == pytest.approx(9000 / 32768 / 2**0.5, rel=0.05)
 
 
+def test_directory_run_without_checkpoint_folder(spark, library, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: None)
+    run = extract.process_directory(spark, library)
+    assert (run.new, run.errors) == (4, 5) and run.features.where("mfcc_1_mean is null").count() == 0
+
+
+def test_releasing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path / "cp"))
+    df = spark.range(5)
+    with session.releasing():
+        a = session.materialise_table(df)
+        with session.keeping():
+            session.materialise_table(df)
+        assert a.count() == 5 and len(os.listdir(tmp_path / "cp")) == 2
+    assert len(os.listdir(tmp_path / "cp")) == 1
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: None)
+    with session.releasing():
+        b = session.materialise(df)
+        assert b.count() == 5 and b.storageLevel.useMemory
+    assert not b.storageLevel.useMemory
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "e").mkdir()
     run = extract.process_directory(spark, str(tmp_path / "e"), str(tmp_path / "out.csv"))

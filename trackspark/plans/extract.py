@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from trackspark import schema as S
 from trackspark.operators import signals
 from trackspark.sources import catalog, features, incremental, pcm
-from trackspark.session import materialise, widen
+from trackspark.session import materialise, keeping, materialise, materialise_table, releasing, widen
 
 log = logging.getLogger(__name__)
 
@@ -92,7 +92,7 @@ def extract_files(
     Small files are listed many to a split; where that leaves cores idle they are spread
     before decoding. Frame rows are kept for the three aggregates made of them.
     """
-    rows = materialise(frame_rows(widen(files), sr, chunk))
+    rows = materialise_table(frame_rows(widen(files), sr, chunk))
     attributes = list(S.METADATA_COLUMNS)
     numbers = signals.feature_rows(
         rows.where("kind is null and error is null").select("file_path", "duration"),
@@ -130,11 +130,13 @@ def process_directory(
         todo = incremental.pending(keyed, existing).drop("file_path")
     else:
         todo = files
-    rows, seen = incremental.observe_errors(extract_files(todo, sr))
-    rows = materialise(rows)
-    counts = rows.agg(
-        F.count_if(F.col("error").isNull()).alias("new"), F.count_if(F.col("error").isNotNull()).alias("errors")
-    ).head()
+    with releasing():  # frame rows go as soon as the feature rows are there
+        extracted = extract_files(todo, sr)
+        with keeping():
+            rows = materialise(extracted)
+        counts = rows.agg(
+            F.count_if(F.col("error").isNull()).alias("new"), F.count_if(F.col("error").isNotNull()).alias("errors")
+        ).head()
     good, failed = rows.where(F.col("error").isNull()).drop("error"), rows.where(
         F.col("error").isNotNull()
     ).select("file_path", "error")

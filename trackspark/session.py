@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -20,6 +21,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
@@ -36,44 +38,82 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
 
-_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+_kept: ContextVar[list | None] = ContextVar("kept", default=None)
 
 
 @contextmanager
 def releasing() -> Iterator[None]:
-    """Drop what :func:`materialise` persisted inside the block when it ends.
+    """Drop what is materialised inside the block when it ends.
 
-    For work that runs again and again in one session, such as micro-batches.
+    For work that runs again and again in one session, such as micro-batches, and for
+    intermediates that are much larger than their result.
     """
     token = _kept.set([])
     try:
         yield
     finally:
-        for df in _kept.get() or []:
-            df.unpersist()
+        for release in _kept.get() or []:
+            release()
         _kept.reset(token)
 
 
+@contextmanager
+def keeping() -> Iterator[None]:
+    """Exempt what is materialised inside the block from an enclosing :func:`releasing`."""
+    token = _kept.set(None)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+
+
+def _on_release(action) -> None:
+    if _kept.get() is not None:
+        _kept.get().append(action)
+
+
+def _persisted(df: DataFrame) -> DataFrame:
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _on_release(kept.unpersist)
+    return kept
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Keep ``df`` so that several consumers do not recompute it.
 
     With a shared checkpoint folder the rows are written there and survive lost
     executors without recomputation; otherwise they are persisted with their
     lineage, so lost blocks are recomputed. Callers only pass deterministic plans,
-    which makes both routes give the same rows.
+    which makes both routes give the same rows. Spark removes checkpoints that are no
+    longer referenced (``cleanCheckpoints`` in ``SETTINGS``).
     """
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
     if folder is None:
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        if _kept.get() is not None:
-            _kept.get().append(kept)
-        return kept
+        return _persisted(df)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def materialise_table(df: DataFrame) -> DataFrame:
+    """Like :func:`materialise`, for wide rows whose consumers read different columns: the
+    checkpoint is a Parquet table, so each reads only its own."""
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        return _persisted(df)
+    path = f"{folder}/trackspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    _on_release(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread the rows of a scan with fewer splits than cores before costly map work.
 
