@@ -43,6 +43,11 @@ def _grams(text: Column, length: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def _look() -> Column:
+    """One key for a needle and where it must be."""
+    return F.concat(F.when(F.col("at_end"), "$").otherwise("*"), F.col("needle"))
+
+
 def _needles(texts: DataFrame, tiers: Sequence[int]) -> DataFrame:
     base = base_name("song_path")
     wanted = {
@@ -57,11 +62,12 @@ def _needles(texts: DataFrame, tiers: Sequence[int]) -> DataFrame:
         texts.select("song_path", F.inline(forms))
         .where(F.col("needle") != "")
         .withColumn("at_end", F.col("tier") == 2)
+        .withColumn("look", _look())
     )
 
 
 def _text_matches(needles: DataFrame, paths: DataFrame, hot_rows: int) -> DataFrame:
-    """First path per distinct ``(needle, at_end)``."""
+    """First path per distinct ``look``."""
     wanted = needles.select("needle", "at_end").distinct().withColumn(
         "_len", _gram_length(F.col("needle"))
     )
@@ -92,6 +98,7 @@ def _text_matches(needles: DataFrame, paths: DataFrame, hot_rows: int) -> DataFr
         .where(fits)
         .groupBy("needle", "at_end")
         .agg(F.min(F.struct("_first", "file_path")).alias("_hit"))
+        .select(_look().alias("look"), "_hit")
     )
 
 
@@ -124,7 +131,7 @@ def resolve_songs(
     needles = materialise(_needles(rest, tiers))
     hits = _text_matches(needles, paths, hot_rows)
     found = (
-        needles.join(hits, ["needle", "at_end"])
+        hot_join(needles, hits, "look", F.col("song_path"), "inner", hot_rows)
         .groupBy("song_path")
         .agg(F.min(F.struct("tier", "_hit")).alias("_best"))
         .select("song_path", F.col("_best._hit.file_path").alias("file_path"), F.col("_best.tier").alias("tier"))

@@ -7,7 +7,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackspark.operators import knn, prep, report, resolve
+from trackspark.operators.skew import hot_join
 from trackspark.schema import OVERFETCH, RETAINED_VARIANCE
+from trackspark.session import materialise
 from trackspark.sources import features as tables, models
 
 
@@ -116,14 +118,14 @@ class Recommender:
         """
         n = self.n_neighbors if n_songs is None else n_songs
         k = n if exclusions is None else n * overfetch
-        found = resolve.resolve_songs(queries, self.table).where(F.col("file_path").isNotNull())
+        found = materialise(
+            resolve.resolve_songs(queries, self.table).where(F.col("file_path").isNotNull())
+        )
         wanted = found.select(F.col("file_path").alias("id")).distinct()
         near = knn.knn_join(self.index(k), self.vectors().join(wanted, "id", "left_semi"), k)
-        pairs = (
-            found.select("query_id", F.col("file_path").alias("_seed"))
-            .join(near.withColumnRenamed("query_id", "_seed"), "_seed")
-            .select("query_id", "id", "score", "rank")
-        )
+        asked = found.select("query_id", F.col("file_path").alias("_seed"))
+        answers = near.withColumnRenamed("query_id", "_seed")
+        pairs = hot_join(asked, answers, "_seed", F.col("query_id")).select("query_id", "id", "score", "rank")
         if exclusions is not None:
             gone = exclusions.select("query_id", F.col("file_path").alias("id"))
             pairs = knn.without_excluded(pairs, gone, n, overfetch)
