@@ -33,6 +33,15 @@ from trackspark.plans import extract, listening
 from trackspark.session import ship_package, widen
 from trackspark.sources import catalog, incremental, pcm
 
+# The training-data operators are a part of their own, which may be absent.
+try:
+    import corpus_pipeline
+    from trackspark.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("trackspark.llm", "corpus_pipeline")):
+        raise
+    corpus_pipeline = llm_queries = None
+
 DIMS = 64
 SR = 44100
 GRID = signals.Grid(frame=16, hop=8)
@@ -486,10 +495,18 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    found = {q.__name__: q for q in _QUERIES}
+    if llm_queries is not None:
+        found |= {q.__name__: q for q in llm_queries.QUERIES} | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle import ORACLE
 
-    return dict(ORACLE)
+    found = dict(ORACLE)
+    if llm_queries is not None:
+        found |= llm_queries.ORACLE
+        if corpus_pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
