@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trackspark.llm import exact, urls
-from trackspark.llm.shared import read
+from trackspark.llm import exact, language, packing, urls
+from trackspark.llm.shared import held_out, read
 
 URL_RULES = [
     ("allow", "org", "/"),
@@ -25,7 +25,24 @@ def op6_exact_dedup(spark, sf) -> DataFrame:
     return exact.exact_dedup(read(spark, sf, "documents").select("doc_id", "text"))
 
 
-QUERIES = (op2_urls, op6_exact_dedup)
+def op8_language(spark, sf) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = held_out("doc_id", 3, 1)
+    found = language.predict(docs, language.fit(docs, ~out))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark, sf) -> DataFrame:
+    return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path())
+
+
+QUERIES = (op2_urls, op6_exact_dedup, op8_language, op9_packing)
 
 ORACLE = {
     "op2_urls": r"""
