@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trackspark.llm import exact, language, packing, urls
+from trackspark.llm import exact, language, packing, quality, toxicity, urls
 from trackspark.llm.shared import held_out, read
 
 URL_RULES = [
@@ -16,11 +16,27 @@ URL_RULES = [
 ]
 
 
+def op1_quality(spark, sf) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    labels = read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    out = held_out("doc_id", 4, 2)
+    found = quality.quality(docs, labels, ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op2_urls(spark, sf) -> DataFrame:
     pages = read(spark, sf, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.rules_frame(spark, URL_RULES))
 
 
+def op4_toxicity(spark, sf) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    labels = read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    out = held_out("doc_id", 3, 1)
+    found = toxicity.toxicity(docs, labels, ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark, sf) -> DataFrame:
     return exact.exact_dedup(read(spark, sf, "documents").select("doc_id", "text"))
 
@@ -42,7 +58,7 @@ def op9_packing(spark, sf) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path())
 
 
-QUERIES = (op2_urls, op6_exact_dedup, op8_language, op9_packing)
+QUERIES = (op1_quality, op2_urls, op4_toxicity, op6_exact_dedup, op8_language, op9_packing)
 
 ORACLE = {
     "op2_urls": r"""
