@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trackspark.llm import exact, language, packing, quality, toxicity, urls
+from trackspark.llm import exact, jaccard, language, packing, quality, toxicity, urls
 from trackspark.llm.shared import held_out, read
 
 URL_RULES = [
@@ -58,7 +58,11 @@ def op9_packing(spark, sf) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path())
 
 
-QUERIES = (op1_quality, op2_urls, op4_toxicity, op6_exact_dedup, op8_language, op9_packing)
+def op10_jaccard(spark, sf) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"))
+
+
+QUERIES = (op1_quality, op2_urls, op4_toxicity, op6_exact_dedup, op8_language, op9_packing, op10_jaccard)
 
 ORACLE = {
     "op2_urls": r"""
