@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trackspark.llm import exact, jaccard, language, packing, quality, toxicity, urls
+from trackspark.llm import exact, jaccard, language, packing, quality, substrings, toxicity, urls
 from trackspark.llm.shared import held_out, read
 
 URL_RULES = [
@@ -29,6 +29,11 @@ def op2_urls(spark, sf) -> DataFrame:
     return urls.filter_urls(pages, urls.rules_frame(spark, URL_RULES))
 
 
+def op3_substrings(spark, sf) -> DataFrame:
+    found = substrings.dedup_substrings(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark, sf) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     labels = read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -62,7 +67,7 @@ def op10_jaccard(spark, sf) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"))
 
 
-QUERIES = (op1_quality, op2_urls, op4_toxicity, op6_exact_dedup, op8_language, op9_packing, op10_jaccard)
+QUERIES = (op1_quality, op2_urls, op3_substrings, op4_toxicity, op6_exact_dedup, op8_language, op9_packing, op10_jaccard)
 
 ORACLE = {
     "op2_urls": r"""
