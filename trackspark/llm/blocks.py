@@ -26,8 +26,7 @@ BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 20
 SCHEMA = "block long, size long, ids array<long>, texts binary"
 SENT = "block long, shard long, n long, keys binary, extra binary"
-ANSWER = "block long, shard long, answer binary"
-_ARROW = {"long": pa.int64(), "binary": pa.binary()}
+ANSWER = "block long, shard long, answer binary, total long"
 
 
 def pack_texts(texts: list[bytes]) -> bytes:
@@ -131,16 +130,27 @@ class Shards:
 def exchange(sent: DataFrame, answer: Callable[[np.ndarray, np.ndarray, bytes], np.ndarray]) -> DataFrame:
     """``block, answers``: per shard, ``answer(keys, blocks, extra)`` sees the keys of all blocks, each entry's
     block, and the joined extras, and returns one item per entry."""
+    return by_block(shard_answers(sent, answer))
+
+
+def shard_answers(sent: DataFrame, answer: Callable) -> DataFrame:
+    """:data:`ANSWER` rows. Where ``answer`` returns a pair, its second part is a number of the shard (``total``)."""
 
     def run(key, table):
         sizes = table["n"].to_numpy()
         keys = np.frombuffer(b"".join(table["keys"].to_pylist()), dtype=np.uint64)
         block = np.repeat(table["block"].to_numpy(), sizes)
         items = answer(keys, block, b"".join(table["extra"].to_pylist()))
+        items, total = items if isinstance(items, tuple) else (items, 0)
         parts = [p.tobytes() for p in np.split(items, np.cumsum(sizes)[:-1])]
-        return pa.table({"block": table["block"].combine_chunks(), "shard": table["shard"].combine_chunks(), "answer": pa.array(parts, pa.binary())})
+        totals = pa.array([total] + [0] * (len(sizes) - 1), pa.int64())
+        return pa.table({"block": table["block"].combine_chunks(), "shard": table["shard"].combine_chunks(), "answer": pa.array(parts, pa.binary()), "total": totals})
+
+    return sent.groupBy("shard").applyInArrow(run, ANSWER)
+
 
-    return sent.groupBy("shard").applyInArrow(run, ANSWER).groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
+def by_block(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

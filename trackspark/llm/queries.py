@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trackspark.llm import exact, jaccard, language, packing, quality, substrings, toxicity, urls
+from trackspark.llm import exact, jaccard, language, packing, ppm, quality, substrings, toxicity, urls
 from trackspark.llm.shared import held_out, read
 
 URL_RULES = [
@@ -42,6 +42,10 @@ def op4_toxicity(spark, sf) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op5_ppm(spark, sf) -> DataFrame:
+    return ppm.score_documents(read(spark, sf, "documents").select("doc_id", "text"))
+
+
 def op6_exact_dedup(spark, sf) -> DataFrame:
     return exact.exact_dedup(read(spark, sf, "documents").select("doc_id", "text"))
 
@@ -67,7 +71,7 @@ def op10_jaccard(spark, sf) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"))
 
 
-QUERIES = (op1_quality, op2_urls, op3_substrings, op4_toxicity, op6_exact_dedup, op8_language, op9_packing, op10_jaccard)
+QUERIES = (op1_quality, op2_urls, op3_substrings, op4_toxicity, op5_ppm, op6_exact_dedup, op8_language, op9_packing, op10_jaccard)
 
 ORACLE = {
     "op2_urls": r"""
