@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trackspark.llm import exact, jaccard, language, packing, ppm, quality, substrings, toxicity, urls
+from trackspark.llm import exact, jaccard, language, packing, ppm, quality, substrings, tiling, toxicity, urls
 from trackspark.llm.shared import held_out, read
 
 URL_RULES = [
@@ -50,6 +50,10 @@ def op6_exact_dedup(spark, sf) -> DataFrame:
     return exact.exact_dedup(read(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op7_tiling(spark, sf) -> DataFrame:
+    return tiling.contaminated(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"))
+
+
 def op8_language(spark, sf) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
     out = held_out("doc_id", 3, 1)
@@ -71,7 +75,7 @@ def op10_jaccard(spark, sf) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"))
 
 
-QUERIES = (op1_quality, op2_urls, op3_substrings, op4_toxicity, op5_ppm, op6_exact_dedup, op8_language, op9_packing, op10_jaccard)
+QUERIES = (op1_quality, op2_urls, op3_substrings, op4_toxicity, op5_ppm, op6_exact_dedup, op7_tiling, op8_language, op9_packing, op10_jaccard)
 
 ORACLE = {
     "op2_urls": r"""
