@@ -21,6 +21,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+KEYS_PER_STORE = 500_000
+
 
 def normalised(text: Column | str) -> Column:
     """The text without the characters `[\\x20\\x09-\\x0D]`; null counts as empty."""
@@ -43,9 +45,10 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", digest=sha25
 
 
 @contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
+def _rocksdb(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    wanted = ROCKSDB | ({"spark.sql.streaming.internal.stateStore.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -54,7 +57,7 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def track(prints: DataFrame, state: str, out: str) -> StreamingQuery:
+def track(prints: DataFrame, state: str, out: str, partitions: int | None = None) -> StreamingQuery:
     """Run a stream of :func:`fingerprints` through the keyed state in folder ``state``.
 
     Every micro-batch writes its changed digests to ``out/batch=N`` (a repeated batch overwrites
@@ -70,7 +73,7 @@ def track(prints: DataFrame, state: str, out: str) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _rocksdb(prints.sparkSession):
+    with _rocksdb(prints.sparkSession, partitions):
         return (
             state_rows.writeStream.outputMode("update")
             .foreachBatch(write)
@@ -89,6 +92,26 @@ def tracked(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_points"), normalised(text_col).alias("bytes"))
+    return rows.withColumn("digest", F.coalesce(digest(F.col("bytes")), F.lit("")))
+
+
+def _with_texts(texts: DataFrame, keepers: DataFrame) -> DataFrame:
+    """``keepers`` with the bytes of the row that stays, where a group has more than one row.
+
+    The id is compared in a form that is no join key, so that this join and the next one read one and the same
+    exchange of the texts by digest. The few rows found are dealt out anew before they are
+    grouped, which leaves Spark free to split a digest that many rows share.
+    """
+    is_keeper = F.size(F.array_distinct(F.array("doc_id", "keep_id"))) == 1
+    found = texts.join(keepers.where("group_size > 1").select("digest", "keep_id"), "digest").where(is_keeper)
+    found = found.select("digest", "n_points", "bytes").repartition("digest")
+    found = found.groupBy("digest").agg(F.max_by("bytes", "n_points").alias("kept_bytes"))
+    return keepers.select("digest", "keep_id", "group_size").join(found, "digest", "left")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -108,22 +131,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stream = spark.readStream.schema(prints.schema).parquet(prints.inputFiles()[0].rpartition("/")[0]) if prints.inputFiles() else None
     spark.createDataFrame([], "digest string, stays struct<n_points:int,known:boolean,low:bigint,id:bigint,locator:string>, n bigint").write.parquet(f"{out}/batch=-1")
     if stream is not None:
-        track(stream, new_path(spark, "state"), out).awaitTermination()
+        stores = max(spark.sparkContext.defaultParallelism, -(-prints.count() // KEYS_PER_STORE))
+        track(stream, new_path(spark, "state"), out, stores).awaitTermination()
     keepers = write_table(tracked(spark, out), "keepers")
 
-    texts = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_points"),
-        normalised(text_col).alias("bytes"),
-    ).withColumn("digest", digest(F.col("bytes")))
-    kept_texts = (
-        texts.join(keepers.where("group_size > 1"), "digest")
-        .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .select("digest", "n_points", F.col("bytes").alias("kept_bytes"))
-        .groupBy("digest")
-        .agg(F.max_by("kept_bytes", "n_points").alias("kept_bytes"))
-    )
-    checked = texts.join(keepers, "digest").join(kept_texts, "digest", "left")
+    texts = _texts(docs, id_col, text_col, digest)
+    checked = texts.join(_with_texts(texts, keepers), "digest")
     same = F.coalesce(F.col("bytes") == F.col("kept_bytes"), F.lit(True))
     rows = write_table(
         checked.select(
