@@ -22,6 +22,7 @@ ROCKSDB = {
 }
 
 KEYS_PER_STORE = 500_000
+STATE = "digest string, stays struct<n_points:int,known:boolean,low:bigint,id:bigint,locator:string>, n bigint"
 
 
 def normalised(text: Column | str) -> Column:
@@ -85,7 +86,7 @@ def track(prints: DataFrame, state: str, out: str, partitions: int | None = None
 
 def tracked(spark: SparkSession, out: str) -> DataFrame:
     """Latest state per digest: ``digest, keep_id, locator, group_size``."""
-    rows = spark.read.schema("digest string, stays struct<n_points:int,known:boolean,low:bigint,id:bigint,locator:string>, n bigint, batch bigint").parquet(out)
+    rows = spark.read.schema(f"{STATE}, batch bigint").parquet(out)
     last = rows.groupBy("digest").agg(F.max_by(F.struct("stays", "n"), "batch").alias("s"))
     return last.select(
         "digest", F.col("s.stays.id").alias("keep_id"), F.col("s.stays.locator").alias("locator"), F.col("s.n").alias("group_size")
@@ -112,6 +113,19 @@ def _with_texts(texts: DataFrame, keepers: DataFrame) -> DataFrame:
     return keepers.select("digest", "keep_id", "group_size").join(found, "digest", "left")
 
 
+def _keepers(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    """What the stream's state says of every digest, as a table."""
+    spark = docs.sparkSession
+    prints = write_table(fingerprints(docs, id_col, text_col, digest), "prints")
+    out = new_path(spark, "tracked")
+    spark.createDataFrame([], STATE).write.parquet(f"{out}/batch=-1")
+    if files := prints.inputFiles():
+        stores = max(spark.sparkContext.defaultParallelism, -(-prints.count() // KEYS_PER_STORE))
+        stream = spark.readStream.schema(prints.schema).parquet(files[0].rpartition("/")[0])
+        track(stream, new_path(spark, "state"), out, stores).awaitTermination()
+    return write_table(tracked(spark, out), "keepers")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -125,16 +139,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest, and a digest that many rows share is split by Spark's skew handling, since
     it meets one keeper.
     """
-    spark = docs.sparkSession
-    prints = write_table(fingerprints(docs, id_col, text_col, digest), "prints")
-    out = new_path(spark, "tracked")
-    stream = spark.readStream.schema(prints.schema).parquet(prints.inputFiles()[0].rpartition("/")[0]) if prints.inputFiles() else None
-    spark.createDataFrame([], "digest string, stays struct<n_points:int,known:boolean,low:bigint,id:bigint,locator:string>, n bigint").write.parquet(f"{out}/batch=-1")
-    if stream is not None:
-        stores = max(spark.sparkContext.defaultParallelism, -(-prints.count() // KEYS_PER_STORE))
-        track(stream, new_path(spark, "state"), out, stores).awaitTermination()
-    keepers = write_table(tracked(spark, out), "keepers")
-
+    keepers = _keepers(docs, id_col, text_col, digest)
     texts = _texts(docs, id_col, text_col, digest)
     checked = texts.join(_with_texts(texts, keepers), "digest")
     same = F.coalesce(F.col("bytes") == F.col("kept_bytes"), F.lit(True))
@@ -158,3 +163,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = odd.groupBy("digest", "other").agg(F.max_by("doc_id", order).alias("k"), F.count("*").alias("n"))
     apart = odd.join(groups, ["digest", "other"]).select("doc_id", F.col("k").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256")
     return plain.unionByName(apart).withColumn("kept", kept).select(*out_cols)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`exact_dedup` keeps.
+
+    A row that shares a keeper's digest but not its bytes stays. The texts are shuffled once here too.
+    """
+    keepers = _keepers(docs, id_col, text_col, sha256)
+    rows = docs.withColumns({"_digest": F.coalesce(sha256(normalised(text_col)), F.lit(""))})
+    texts = rows.select(*docs.columns, F.col("_digest").alias("digest"))
+    is_keeper = F.size(F.array_distinct(F.array(id_col, "keep_id"))) == 1
+    found = texts.join(keepers.where("group_size > 1").select("digest", "keep_id"), "digest").where(is_keeper)
+    found = found.select("digest", F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), normalised(text_col).alias("b"))
+    found = found.repartition("digest").groupBy("digest").agg(F.max_by("b", "n").alias("kept_bytes"))
+    told = texts.join(keepers.select("digest", "keep_id", "group_size").join(found, "digest", "left"), "digest")
+    stays = is_keeper | F.coalesce(normalised(text_col) != F.col("kept_bytes"), F.lit(False))
+    return told.where(stays).select(*docs.columns)

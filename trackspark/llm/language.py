@@ -145,3 +145,15 @@ def predict(docs: DataFrame, profiles: Profiles, id_col="doc_id", text_col="text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def determined(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language :func:`predict` finds."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [shared.value.predict(t)[0] != UNDETERMINED for t in b.column(b.schema.names.index(text_col)).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
