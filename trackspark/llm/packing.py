@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from trackspark.llm.shared import write_table
 
 WINDOW = 1024
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 600_000
+ENCODED_AT_ONCE = 8_192
+MARKS = ".,;:!?|*&%$#@()[]{}<>+-=/^_~\"\\"
 
 PACKS = "pack long, doc_ids array<long>, sources array<string>, lengths array<long>, ids binary, n_tokens long"
 PIECES = (
@@ -39,7 +42,9 @@ class Encoder:
 
     The tokenizer's pattern always splits before a single space that a non-space follows or
     another kind of white space follows, so a text without two spaces in a row is the
-    sequence of its pieces at spaces, and each distinct piece is encoded once.
+    sequence of its pieces at spaces, and each distinct piece is encoded once. It also splits between
+    a letter and marks or a line feed. So pieces are put together from words, which are units of the pattern and go
+    straight to the tokenizer's model, and what ends them; only other pieces go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -47,30 +52,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.model = self.tokenizer.model
+        self.byte_letters = byte_letters()
+        self.known: dict[str, bytes] = {}  # of a piece, with the space before it
+        self.marks: dict[str, bytes] = {}
+        self.feed = next(self._encode(["\n"]))
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(texts), ENCODED_AT_ONCE):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+
+    def _letters(self, unit: str) -> bytes:
+        letters = unit.encode().decode("latin-1").translate(self.byte_letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _simple(self, part: str, space: str) -> bytes | None:
+        """Ids of letters and the marks after them; None for anything else."""
+        core = part.rstrip(MARKS)
+        if not core.isalpha():
+            return None
+        ids = (self.known.get(core) if space else None) or self._letters(space + core)
+        if len(core) == len(part):
+            return ids
+        marks = part[len(core) :]
+        if marks not in self.marks:
+            self.marks[marks] = next(self._encode([marks]))
+        return ids + self.marks[marks]
+
+    def _learn(self, new: set[str]) -> None:
+        other = []
+        for p in new:
+            # A single line feed between two other characters is a unit too.
+            left, feed, right = p.partition("\n")
+            ids = self._simple(left, " ")
+            if ids is not None and feed:
+                after = self._simple(right, "")
+                ids = None if after is None else ids + self.feed + after
+            if ids is None:
+                other.append(p)
+            else:
+                self.known[p] = ids
+        self.known.update(zip(other, self._encode([" " + p for p in other]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For special tokens' strings (``<|``) or runs of spaces the whole text is encoded at once."""
         if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        pieces: list[list[str] | None] = []
-        whole: list[str] = []
-        for t in texts:
-            if "  " in t or "<|" in t:
-                pieces.append(None)
-                whole.append(t)
-            else:
-                first, *rest = t.split(" ")
-                pieces.append([first, *[" " + r for r in rest]] if first else [" " + r for r in rest])
-        new = list({p for ps in pieces if ps is not None for p in ps if p not in self.known})
-        self.known.update(zip(new, self._encode(new), strict=True))
-        slow = iter(self._encode(whole))
+            self.marks.clear()
+        whole = [t for t in texts if "  " in t or "<|" in t]
+        pieces = [None if "  " in t or "<|" in t else t.split(" ") for t in texts]
+        firsts = [ps[0] for ps in pieces if ps is not None]
+        rest = [ps[1:] for ps in pieces if ps is not None]
+        self._learn(set().union(*rest).difference(self.known))
+        slow, first, more = self._encode(whole), self._encode(firsts), iter(rest)
         get = self.known.__getitem__
-        return [next(slow) if ps is None else b"".join(map(get, ps)) for ps in pieces]
+        return [next(slow) if ps is None else next(first) + b"".join(map(get, next(more))) for ps in pieces]
+
+
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 @cache
@@ -78,7 +122,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _packs(path: str, end: int, pack_tokens: int, in_turn: int = 1 << 22):
+def _packs(path: str, end: int, pack_tokens: int, in_turn: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         ids, sources, tokens, size = [], [], [], 0
