@@ -171,12 +171,14 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A row that shares a keeper's digest but not its bytes stays. The texts are shuffled once here too.
     """
     keepers = _keepers(docs, id_col, text_col, sha256)
-    rows = docs.withColumns({"_digest": F.coalesce(sha256(normalised(text_col)), F.lit(""))})
-    texts = rows.select(*docs.columns, F.col("_digest").alias("digest"))
-    is_keeper = F.size(F.array_distinct(F.array(id_col, "keep_id"))) == 1
+    row = F.col("row")
+    digest = F.coalesce(sha256(normalised(text_col)), F.lit(""))
+    texts = docs.select(digest.alias("digest"), F.struct("*").alias("row"))  # whatever the columns are called
+    text = row[text_col]
+    is_keeper = F.size(F.array_distinct(F.array(row[id_col], "keep_id"))) == 1
     found = texts.join(keepers.where("group_size > 1").select("digest", "keep_id"), "digest").where(is_keeper)
-    found = found.select("digest", F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), normalised(text_col).alias("b"))
+    found = found.select("digest", F.length(F.coalesce(text, F.lit(""))).alias("n"), normalised(text).alias("b"))
     found = found.repartition("digest").groupBy("digest").agg(F.max_by("b", "n").alias("kept_bytes"))
     told = texts.join(keepers.select("digest", "keep_id", "group_size").join(found, "digest", "left"), "digest")
-    stays = is_keeper | F.coalesce(normalised(text_col) != F.col("kept_bytes"), F.lit(False))
-    return told.where(stays).select(*docs.columns)
+    stays = is_keeper | F.coalesce(normalised(text) != F.col("kept_bytes"), F.lit(False))
+    return told.where(stays).select("row.*")
