@@ -180,9 +180,6 @@ def word_digests(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-_ODD = [(0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1 for i in range(64)]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -196,6 +193,7 @@ def runs(digests: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     total = np.full(n, salt, dtype=np.uint64)
+    odd = mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)  # in no linear relation, so order always counts
     for i in range(k):
-        total += digests[i : i + n] * np.uint64(_ODD[(i + 31 * (salt != 0)) % 64])
+        total += digests[i : i + n] * odd[i]
     return mixed(total)
