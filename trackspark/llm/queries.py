@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from trackspark.llm import exact, jaccard, language, packing, ppm, quality, substrings, tiling, toxicity, urls
+from trackspark.llm import exact, jaccard, language, packing, periodic, ppm, quality, secrets, substrings, tiling, toxicity, urls, whitening
 from trackspark.llm.shared import held_out, read
 
 URL_RULES = [
@@ -75,7 +78,50 @@ def op10_jaccard(spark, sf) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf, "documents").select("doc_id", "text"))
 
 
-QUERIES = (op1_quality, op2_urls, op3_substrings, op4_toxicity, op5_ppm, op6_exact_dedup, op7_tiling, op8_language, op9_packing, op10_jaccard)
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op11_secrets(spark, sf) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op12_whitening(spark, sf) -> DataFrame:
+    vectors = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    return whitening.by_component(whitening.whiten(vectors, model), model)
+
+
+def looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Positions of the words of a document that is made to repeat its end: one document in ten by the crc32 of its id."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or n == 0:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op13_periodic(spark, sf) -> DataFrame:
+    found = periodic.periodic_runs(read(spark, sf, "documents").select("doc_id", "text"), rewrite=looped)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = periodic.strongest(F.col("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256")
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+QUERIES = (
+    op1_quality, op2_urls, op3_substrings, op4_toxicity, op5_ppm, op6_exact_dedup, op7_tiling, op8_language, op9_packing, op10_jaccard,
+    op11_secrets, op12_whitening, op13_periodic,
+)
 
 ORACLE = {
     "op2_urls": r"""
