@@ -135,7 +135,7 @@ def _held(tokens: list[bytes]) -> np.ndarray:
     """Bits of the alphabets that hold all of a token's symbols."""
     n = np.array([len(t) for t in tokens])
     at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    bits = np.append(_IN[np.frombuffer(b"".join(tokens), dtype=np.uint8)], 0)
+    bits = np.append(_IN[np.frombuffer(b"".join(tokens), dtype=np.uint8)], -1)  # all alphabets, for an empty end
     return np.where(n > 0, np.bitwise_and.reduceat(bits, at), 0)
 
 
