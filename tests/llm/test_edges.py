@@ -131,3 +131,70 @@ def test_pipeline_edges(spark, docs, tmp_path, empty):
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == (set() if empty else {2, 6, None})
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+ROWS = [
+    (1, PASSAGE + " a"),
+    (7, PASSAGE + " b"),  # a near copy of the first row
+    (7, "a text of its own that nothing else in this table is like at all"),
+    (None, PASSAGE + " c"),
+    (None, "another text of its own that no other row of the table comes near to"),
+    (1, PASSAGE + " d"),  # a near copy with the id that stays
+    (9, "the very same row twice over in this little table of rows"),
+    (9, "the very same row twice over in this little table of rows"),
+    (10, None),
+    (11, ""),
+]
+
+
+def table(spark, rows):
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    return made.withColumn("lang", F.lit(None).cast("string")).withColumns({c: F.lit("clash") for c in ("key", "row", "nth", "component_id", "id")}).repartition(3)
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    docs = table(spark, ROWS)
+    got = stage("near_duplicates")(spark, docs, "")
+    assert got.columns == docs.columns
+    rows = kept(got)
+    assert len([t for _, t in rows if t and t.startswith(PASSAGE)]) == 1 and any(i == 1 and t.startswith(PASSAGE) for i, t in rows if t)
+    assert [r for r in rows if not (r[1] or "").startswith(PASSAGE)] == sorted(set(ROWS[2:3] + ROWS[4:5] + ROWS[6:7] + ROWS[8:]), key=repr)
+    assert kept(stage("near_duplicates")(spark, docs.limit(0), "")) == []
+
+
+def test_decontamination_is_judged_by_row(spark, tmp_path):
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, ROWS)
+    got = stage("decontamination")(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert kept(got) == sorted((r for r in ROWS if not (r[1] or "").startswith(PASSAGE)), key=repr)
+
+
+def test_language_stage_without_languages(spark):
+    docs = table(spark, ROWS + [(12, "12 34 !")])
+    got = stage("language")(spark, docs, "")
+    assert got.columns == docs.columns and kept(got) == sorted((r for r in ROWS if r[1]), key=repr)
+
+
+def test_exact_stage_keeps_columns(spark):
+    docs = table(spark, ROWS)
+    got = stage("exact_dedup")(spark, docs, "")
+    assert got.columns == docs.columns and {t for _, t in kept(got) if t} == {t for _, t in ROWS if t}
+
+
+def test_a_digest_clash_is_no_match(monkeypatch):
+    import numpy as np
+
+    real = tiling._longest
+    monkeypatch.setattr(tiling, "_longest", lambda a, b, fa, fb, least: [(0, 0, 3)] if fa[0] else [])
+    assert tiling.tile(np.arange(1, 9, dtype=np.uint64), np.arange(2, 10, dtype=np.uint64), 3) == []
+    monkeypatch.setattr(tiling, "_longest", real)

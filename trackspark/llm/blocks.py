@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from trackspark.llm.shared import write_table
+from trackspark.llm.shared import giving_back, write_table
 
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 20
@@ -72,7 +72,7 @@ def write_blocks(docs: DataFrame, id_col="doc_id", text_col="text", block_bytes:
         if ids:
             yield out()
 
-    return write_table(rows.mapInArrow(run, SCHEMA + (", " + look_schema if look_schema else "")), "blocks")
+    return write_table(rows.mapInArrow(giving_back(run, WORDS), SCHEMA + (", " + look_schema if look_schema else "")), "blocks")
 
 
 def row_key(block: int, position: int) -> int:
@@ -96,7 +96,7 @@ def each_block(table: DataFrame, schema: str, work: Callable) -> DataFrame:
                 for made in work(row):
                     yield pa.RecordBatch.from_arrays([pa.array(made[n], kinds[k]) for n, k in columns], names=[n for n, _ in columns])
 
-    return table.mapInArrow(run, schema)
+    return table.mapInArrow(giving_back(run, WORDS), schema)
 
 
 class Shards:

@@ -148,12 +148,14 @@ def predict(docs: DataFrame, profiles: Profiles, id_col="doc_id", text_col="text
 
 
 def determined(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language :func:`predict` finds."""
+    """The rows of ``docs``, with all their columns, whose language :func:`predict` finds. Where nothing was learnt, so that it
+    finds none, the rows whose text has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [shared.value.predict(t)[0] != UNDETERMINED for t in b.column(b.schema.names.index(text_col)).to_pylist()]
+            known = shared.value
+            keep = [known.predict(t)[0] != UNDETERMINED if known.langs else len(top_grams(t, known.k)) > 0 for t in b.column(b.schema.names.index(text_col)).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

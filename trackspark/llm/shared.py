@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trackspark.session import ship_package
@@ -60,8 +63,28 @@ def _remove() -> None:
         try:
             if spark is not None and spark.sparkContext._jsc is not None:
                 delete_path(spark, path)
-        except Exception:  # the session may have ended before the driver
-            return
+        except Exception:  # the session may have ended before the driver, or another table's folder may be gone
+            continue
+
+
+def giving_back(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterator], Iterator]:
+    """A task body that leaves no memory behind in its worker, which goes on to serve other stages: caches are emptied, and
+    what Arrow and the C library have kept of freed memory goes back to the system."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c.clear()
+            pa.default_memory_pool().release_unused()
+            if hasattr(_libc, "malloc_trim"):
+                _libc.malloc_trim(0)
+
+    return task
+
+
+_libc = ctypes.CDLL(None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

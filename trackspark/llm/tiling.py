@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trackspark.llm import blocks as B
+from trackspark.llm.shared import giving_back
 
 EDGES = ".,;:!?\"'()[]{}|#$%&*-_=+<>/\\~`"
 
@@ -72,8 +73,9 @@ def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]
     while matches := _longest(a, b, free_a, free_b, least):
         for i, j, n in matches:
             if free_a[i : i + n].all() and free_b[j : j + n].all():
-                if not np.array_equal(a[i : i + n], b[j : j + n]):
-                    raise ValueError("different words with one digest")
+                if not np.array_equal(a[i : i + n], b[j : j + n]):  # different words with one digest are no match
+                    free_a[i] = 0
+                    continue
                 free_a[i : i + n] = 0
                 free_b[j : j + n] = 0
                 tiles.append((i, j, n))
@@ -150,6 +152,6 @@ def contaminated(
                     names=[id_col, "item_id", "item_words", "covered_words", "coverage", "tiles"],
                 )
 
-        found = rows.mapInArrow(run, f"`{id_col}` {kind}, item_id {item_kind}, item_words long, covered_words long, coverage double, tiles long")
+        found = rows.mapInArrow(giving_back(run, _normal), f"`{id_col}` {kind}, item_id {item_kind}, item_words long, covered_words long, coverage double, tiles long")
         out = found if out is None else out.unionByName(found)
     return out
