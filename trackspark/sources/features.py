@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -101,6 +103,39 @@ def save_features(
     return True
 
 
+def append_features(df: DataFrame, path: str, format: str = "auto") -> None:
+    """Add rows to an existing table, column by column name.
+
+    The table's own column order stays; columns that ``df`` lacks are null in its rows. Where the table lacks a column of ``df``, or is a single
+    file, the whole table is written anew beside the old one and takes its place only when it is complete.
+    """
+    spark = df.sparkSession
+    existing = load_features(spark, path, format)
+    kind = table_format(path, format)
+    own = {c.lower(): c for c in existing.columns}
+    if len({c.lower() for c in df.columns}) < len(df.columns):
+        raise ValueError(f"several columns of one name: {', '.join(df.columns)}")
+    named = df.select(*[F.col(f"`{c}`").alias(own.get(c.lower(), c)) for c in df.columns])
+    added = [c for c in named.columns if c not in existing.columns]
+    if added or _is_single_file(spark, path):
+        whole = existing.unionByName(named, allowMissingColumns=True)
+        _replaced(spark, path, lambda where: save_features(whole, where, kind))
+        return
+    rows = named.select(*[F.col(f"`{f.name}`").cast(f.dataType) if f.name in named.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in existing.schema])
+    save_features(rows, path, kind, mode="append")
+
+
+def _replaced(spark: SparkSession, path: str, write: Callable[[str], object]) -> None:
+    """Write a table beside the one at ``path``, then put it in its place. At every moment one of both is whole."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh, old = f"{path.rstrip('/')}.{uuid.uuid4().hex}.new", f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+    write(fresh)
+    fs.rename(Path(path), Path(old))
+    fs.rename(Path(fresh), Path(path))
+    fs.delete(Path(old), True)
+
+
 def export_similar(similar: DataFrame, path: str) -> None:
     """Write a similarity result (a few rows) as one CSV part, best first."""
     similar.coalesce(1).sortWithinPartitions(F.desc("similarity_score")).write.mode(

@@ -1,9 +1,7 @@
-"""Decoding uncompressed 16-bit audio files into chunk rows."""
+"""Decoding uncompressed audio files into chunk rows at one sample rate."""
 
 from __future__ import annotations
 
-import io
-import wave
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackspark import schema as S
 from trackspark.functions.paths import base_name, local_path, size_mib, suffix
+from trackspark.operators.resample import resampler
 from trackspark.operators.signals import CHUNK_SAMPLES
+from trackspark.sources.wav import RAW_SUFFIXES, Layout, Read, layout  # noqa: F401
 
-RAW_SUFFIXES = (".pcm", ".raw")
 _BATCH_SAMPLES, _BATCH_ROWS = 1 << 21, 10_000  # a batch leaves the task at either size
 
 CHUNK_SCHEMA = T.StructType(
@@ -39,38 +38,52 @@ def pcm16(content: bytes) -> np.ndarray:
     return np.frombuffer(content, dtype="<i2").astype(np.float32) / np.float32(S.PCM_SCALE)
 
 
-def _decode(content: bytes, extension: str, sr: int) -> tuple[np.ndarray, int]:
-    if extension in RAW_SUFFIXES:
-        y, rate = pcm16(content), sr
-    elif extension == ".wav":
-        with wave.open(io.BytesIO(content)) as w:
-            if w.getsampwidth() != 2:
-                raise ValueError(f"{8 * w.getsampwidth()}-bit samples are not supported")
-            y, rate = pcm16(w.readframes(w.getnframes())), w.getframerate()
-            if w.getnchannels() > 1:
-                y = y.reshape(-1, w.getnchannels()).mean(axis=1, dtype=np.float32)
-        if rate != sr:
-            raise ValueError(f"sample rate {rate}, expected {sr}")
-    else:
-        raise ValueError(f"no decoder for {extension or 'files without suffix'}")
-    if len(y) == 0:
-        raise ValueError("empty signal")
-    return y, rate
+class Signal:
+    """A file's samples at the rate ``sr``, read piece by piece."""
+
+    def __init__(self, read: Read, found: Layout, sr: int):
+        self.read, self.layout = read, found
+        self.resampler = resampler(found.rate, sr)
+        self.n = self.resampler.length(found.frames)
+
+    def samples(self, a: int, b: int) -> np.ndarray:
+        """Samples ``a .. b-1``: only the bytes they rest on are read."""
+        s, t = self.resampler.span(a, b, self.layout.frames)
+        return self.resampler.apply(self.layout.samples(self.read(*self.layout.span(s, t))), s, a, b)
+
+    def chunks(self, pad: int, chunk: int, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """``start, lead, samples`` of the chunks from ``start`` up to ``stop`` (whole signal: with the frame at its end)."""
+        for a in range(start, self.n + 1 if stop is None else stop, chunk):
+            lead = max(a - pad, 0)
+            yield a, lead, self.samples(lead, max(min(a + chunk + pad, self.n), lead))
+
+
+def reader(content: bytes) -> Read:
+    """Positioned reading of bytes that are at hand."""
+    view = memoryview(content)
+    return lambda offset, size: bytes(view[offset : offset + size])
+
+
+def signal(content: bytes | None, extension: str, sr: int) -> Signal:
+    """The signal of a whole file's bytes."""
+    if content is None:
+        raise ValueError("no content")
+    read = reader(content)
+    return Signal(read, layout(read, len(content), extension, sr), sr)
 
 
 ATTRIBUTES = ("file_path", "file_name", "file_extension", "file_size_mb")
 
 
+def attributes(files: DataFrame) -> DataFrame:
+    """Listed files with their attributes beside the columns they come with."""
+    p = local_path("path")
+    return files.select("*", p.alias("file_path"), base_name(p).alias("file_name"), suffix(p).alias("file_extension"), size_mib("length").alias("file_size_mb"))
+
+
 def named_files(files: DataFrame) -> DataFrame:
     """File attributes and ``content`` of listed files (``path, length, content``)."""
-    p = local_path("path")
-    return files.select(
-        p.alias("file_path"),
-        base_name(p).alias("file_name"),
-        suffix(p).alias("file_extension"),
-        size_mib("length").alias("file_size_mb"),
-        "content",
-    )
+    return attributes(files).select(*ATTRIBUTES, "content")
 
 
 def decode_task(sr: int, pad: int, chunk: int):
@@ -96,15 +109,14 @@ def decode_task(sr: int, pad: int, chunk: int):
             for i in range(b.num_rows):
                 attrs = [b.column(a)[i].as_py() for a in ATTRIBUTES]
                 try:
-                    y, rate = _decode(b.column("content")[i].as_py(), attrs[2], sr)
+                    found = signal(b.column("content")[i].as_py(), attrs[2], sr)
+                    parts = list(found.chunks(pad, chunk))
                 except Exception as e:  # any fault of this file stays with this file
                     rows.append((*attrs, str(e) or type(e).__name__, None, None, None, None))
                     arrays.append(None)
                     continue
-                for start in range(0, len(y) + 1, chunk):
-                    lead = max(start - pad, 0)
-                    part = y[lead : min(start + chunk + pad, len(y))]
-                    rows.append((*attrs, None, rate, len(y), start, lead))
+                for start, lead, part in parts:
+                    rows.append((*attrs, None, sr, found.n, start, lead))
                     arrays.append(part)
                     held += len(part)
                     if held >= _BATCH_SAMPLES or len(rows) >= _BATCH_ROWS:

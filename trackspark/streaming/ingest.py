@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trackspark import schema as S
 from trackspark.operators import signals
-from trackspark.plans.extract import extract_files
+from trackspark.plans.extract import extract_listed, opens_files
 from trackspark.session import materialise, releasing
 from trackspark.sources.catalog import name_filter
 
@@ -41,6 +41,7 @@ def start_extraction(
     sr: int = S.SAMPLE_RATE,
     chunk: int = signals.CHUNK_SAMPLES,
     trigger: dict | None = None,
+    reader: str = "auto",
 ) -> StreamingQuery:
     """Append the features of new files to ``output``; failures go beside them.
 
@@ -49,9 +50,13 @@ def start_extraction(
     tables with :func:`extracted` and :func:`failures`.
     """
 
+    ranged = opens_files(spark, directory, reader)
+    files = file_stream(spark, directory, suffixes, files_per_batch)
+    files = files.select("path", "length") if ranged else files  # a batch holds what its stream selects
+
     def save(batch: DataFrame, batch_id: int) -> None:
         with releasing():
-            rows = materialise(extract_files(batch.select("path", "length", "content"), sr, chunk))
+            rows = materialise(extract_listed(batch, ranged, sr, chunk))
             good, bad = rows.where("error is null").drop("error"), rows.where("error is not null")
             good.write.mode("overwrite").parquet(f"{output}/features/batch_id={batch_id}")
             bad.select("file_path", "error").write.mode("overwrite").parquet(
@@ -59,8 +64,7 @@ def start_extraction(
             )
 
     return (
-        file_stream(spark, directory, suffixes, files_per_batch)
-        .writeStream.foreachBatch(save)
+        files.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
