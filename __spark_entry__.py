@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from trackspark.functions import formats, names, paths
 from trackspark.operators import (
+    hashing,
     history,
     knn,
     playback,
@@ -187,6 +188,21 @@ def knn_join(spark, sf):
     return knn.knn_join(knn.build_index(lib, 5), lib, 5).select("query_id", "id", "rank", _r("score"))
 
 
+def knn_join_cells(spark, sf):
+    """:func:`knn_join` over many small cells."""
+    lib = _vectors(spark, sf)
+    return knn.knn_join(knn.build_index(lib, 5, rows_per_cell=100), lib, 5).select("query_id", "id", "rank", _r("score"))
+
+
+def knn_approximate(spark, sf):
+    """Whether the hashed search finds nine tenths of the exact neighbours of all vectors."""
+    lib = _vectors(spark, sf)
+    index = hashing.build_hash_index(lib, 5)
+    return hashing.recall(index, lib, knn.knn_join(knn.build_index(lib, 5), lib, 5), 5).select(
+        "n_queries", (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_reached")
+    )
+
+
 def knn_euclidean(spark, sf):
     lib = _vectors(spark, sf)
     return knn.knn_join(knn.build_index(lib, 5, "euclidean"), lib, 5).select(
@@ -210,6 +226,15 @@ def knn_pca95(spark, sf):
     return _pca_neighbours(spark, sf, 0.95)
 
 
+def pca_cut(spark, sf):
+    """95 % of the variance of two columns that almost agree: one component, half the sum of both up to scale."""
+    df = _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity") + 20 * F.col("l_discount")).alias("shifted"))
+    space = prep.fit_feature_space(df, ["l_quantity", "shifted"], n_components=0.95)
+    return space.transform(df).select(
+        "l_orderkey", "l_linenumber", F.lit(space.n_components).alias("kept"), F.lit(round(space.explained, 6)).alias("explained"), (F.round(F.col("vector")[0], 6) + 0.0).alias("value")
+    )
+
+
 def knn_exclude(spark, sf):
     """Top 5 of 15 per song, without the last 50 songs of the user with the song's number."""
     lib = _vectors(spark, sf)
@@ -335,8 +360,7 @@ def format_report(spark, sf):
 
 
 def _measure(spark, sf, name, digits):
-    frames = signals.frame_measures(_chunks(spark, sf), GRID, CHUNK, (name,))
-    stats = signals.track_statistics(frames, (name,))
+    stats = signals.track_moments(_chunks(spark, sf), (name,), GRID, chunk=CHUNK)
     return stats.select("track_id", _r(f"{name}_mean", digits), _r(f"{name}_std", digits))
 
 
@@ -357,26 +381,24 @@ def signal_bandwidth(spark, sf):
 
 
 def signal_mfcc(spark, sf):
-    frames = signals.mfcc_frames(_chunks(spark, sf), MEL, CHUNK)
     cols = [f"mfcc_{i}" for i in range(1, MEL.n_mfcc + 1)]
-    stats = signals.track_statistics(frames, cols)
+    stats = signals.track_moments(_chunks(spark, sf), (), GRID, MEL, CHUNK)
     return stats.select("track_id", *[_r(f"{c}_{s}", 4) for c in cols for s in ("mean", "std")])
 
 
 def _document_files(spark, sf) -> DataFrame:
     """Documents as raw audio files: their bytes are 16-bit samples."""
     content = F.encode("text", "UTF-8")
-    even = F.floor(F.octet_length(content) / 2).cast("int") * 2
     return _read(spark, sf, "documents").select(
         F.concat_ws("", F.lit("/docs/"), "doc_id", F.lit(".pcm")).alias("path"),
         F.octet_length(content).cast("bigint").alias("length"),
-        F.substr(content, F.lit(1), even).alias("content"),
+        content.alias("content"),
     )
 
 
 def pcm_ingest(spark, sf):
     chunk, pad = 1024, 256
-    chunks = pcm.decode_files(widen(_document_files(spark, sf)), SR, pad, chunk).where("error is null")
+    chunks = pcm.decode_files(widen(_document_files(spark, sf)), SR, pad, chunk)
     # A chunk also carries its surroundings; count every sample in the chunk it belongs to.
     own = F.slice(
         "samples",
@@ -385,15 +407,15 @@ def pcm_ingest(spark, sf):
     )
     level = lambda x: (x * 32768).cast("bigint")
     return (
-        chunks.select("file_path", "sr", "n_samples", own.alias("own"))
-        .groupBy("file_path", "sr", "n_samples")
+        chunks.select("file_path", "error", "sr", "n_samples", own.alias("own"))
+        .groupBy("file_path", "error", "sr", "n_samples")
         .agg(
             F.sum(F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + level(x))).alias("total"),
             F.min(level(F.array_min("own"))).alias("low"),
             F.max(level(F.array_max("own"))).alias("high"),
         )
         .withColumn("duration", F.col("n_samples") / F.col("sr"))
-        .select("file_path", "n_samples", _r("duration"), "total", "low", "high")
+        .select("file_path", "error", "n_samples", _r("duration"), "total", "low", "high")
     )
 
 
@@ -402,8 +424,17 @@ def track_features(spark, sf):
     return extract.extract_files(_document_files(spark, sf), SR)
 
 
+def track_basics(spark, sf):
+    """The columns of :func:`track_features` that need no Fourier transform."""
+    rows = extract.extract_files(_document_files(spark, sf), SR)
+    stats = [_r(f"{m}_{s}") for m in ("rms", "zero_crossing_rate") for s in ("mean", "std")]
+    return rows.select("file_path", "file_name", "file_extension", _r("file_size_mb", 9), "error", _r("duration"), *stats, "chroma_12_std", "tempo", "drone_likelihood")
+
+
 # --- play log ---------------------------------------------------------------
 
+SLICE_ROWS = 16  # for the queries that cut every busy key into slices
+
 
 def history50(spark, sf):
     return history.recent_plays(_plays(spark, sf)).select("user_id", _micros(), "event_id", "song")
@@ -425,6 +456,16 @@ def _queue_rows(spark, sf):
     return queue.queue_rows(queued, "user_id", "seed")
 
 
+def history_rolling_sliced(spark, sf):
+    rows = history.history_at_each_play(_plays(spark, sf), hot_rows=SLICE_ROWS)
+    return rows.select("user_id", "event_id", F.concat_ws(",", F.col("history").cast("array<string>")).alias("history"))
+
+
+def previous_track_sliced(spark, sf):
+    one = history.previous_track(_plays(spark, sf), hot_rows=SLICE_ROWS)
+    return history.previous_track(one, 3, out="third_last", hot_rows=SLICE_ROWS).select("user_id", "event_id", "song", "previous", "third_last")
+
+
 def user_queue(spark, sf):
     tracks = _tracks(spark, sf)
     rows = _queue_rows(spark, sf).join(tracks.select("id", "file_path"), "id", "left")
@@ -442,6 +483,12 @@ def auto_advance(spark, sf):
     )
 
 
+def auto_advance_sliced(spark, sf):
+    return playback.auto_advances(_plays(spark, sf), hot_rows=SLICE_ROWS).select(
+        "user_id", "event_id", "is_auto", "advance", "epoch", "slot", "refresh"
+    )
+
+
 def next_from_queue(spark, sf):
     return listening.auto_played(_plays(spark, sf), _vectors(spark, sf)).select(
         "user_id", "event_id", "epoch", "slot", "next_id"
@@ -454,6 +501,11 @@ def playlist_cycle(spark, sf):
     return playlist.playlist_cycle(items, "user_id").select("user_id", "pos", "song", "next_song", "previous_song")
 
 
+def playlist_cycle_sliced(spark, sf):
+    items = _plays(spark, sf).select("user_id", F.col("event_id").alias("pos"), "song")
+    return playlist.playlist_cycle(items, "user_id", hot_rows=SLICE_ROWS).select("user_id", "pos", "song", "next_song", "previous_song")
+
+
 def playlist_first_steps(spark, sf):
     items = _plays(spark, sf).select("user_id", F.col("event_id").alias("pos"), "song")
     return playlist.first_steps(items, "user_id")
@@ -463,6 +515,14 @@ def song_end(spark, sf):
     return playback.song_ends(_samples(spark, sf)).select("device_id", _micros(), "event_id", "song")
 
 
+def song_end_sliced(spark, sf):
+    return playback.song_ends(_samples(spark, sf), hot_rows=SLICE_ROWS).select("device_id", _micros(), "event_id", "song")
+
+
+def mode_islands_sliced(spark, sf):
+    return playback.playback_modes(_toggles(spark, sf), hot_rows=SLICE_ROWS).select("user_id", "event_id", "kind", "mode")
+
+
 def mode_islands(spark, sf):
     return playback.playback_modes(_toggles(spark, sf)).select("user_id", "event_id", "kind", "mode")
 
@@ -480,10 +540,11 @@ def mode_at_end(spark, sf):
 
 _QUERIES = (
     column_stats, feature_standardize, feature_weight,
-    knn_single, knn_join, knn_euclidean, knn_pca_full, knn_pca95, knn_exclude, resolve_song,
+    knn_single, knn_join, knn_join_cells, knn_approximate, knn_euclidean, knn_pca_full, knn_pca95, pca_cut, knn_exclude, resolve_song,
     incremental_antijoin, ingest_counts, catalog_attrs, parse_names, tag_defaults,
     format_texts, text_cuts, format_report,
-    signal_rms, signal_zcr, signal_centroid, signal_bandwidth, signal_mfcc, pcm_ingest, track_features,
+    signal_rms, signal_zcr, signal_centroid, signal_bandwidth, signal_mfcc, pcm_ingest, track_features, track_basics,
+    history_rolling_sliced, previous_track_sliced, auto_advance_sliced, playlist_cycle_sliced, song_end_sliced, mode_islands_sliced,
     history50, history_rolling, previous_track, user_queue, top5, auto_advance, next_from_queue,
     playlist_cycle, playlist_first_steps, song_end, mode_islands, mode_at_end,
 )

@@ -182,6 +182,14 @@ modes AS (
                  THEN kind ELSE 'none' END AS mode
   FROM isl)"""
 
+#: Documents as 16-bit samples: d has every document, s every sample, numbered from 1.
+_PCM = """
+d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) // 2 AS n FROM documents),
+g AS (SELECT doc_id, n, regexp_extract_all(hex(b), '....') AS w FROM d WHERE n > 0),
+v AS (SELECT doc_id, n, UNNEST(w) AS w, UNNEST(range(1, n + 1)) AS i FROM g),
+u AS (SELECT doc_id, n, i, ('0x' || w[3:4] || w[1:2])::INT AS u FROM v),
+s AS (SELECT doc_id, n, i, (CASE WHEN u >= 32768 THEN u - 65536 ELSE u END)::BIGINT AS x FROM u)"""
+
 ORACLE: dict[str, str] = {
     "column_stats": _column_stats(),
     "feature_standardize": f"WITH {_STANDARD} SELECT vec_id, dim, round(value, 6) + 0.0 AS value FROM std",
@@ -327,15 +335,42 @@ bw AS (
 """
     + _stats("spectral_bandwidth", "bw", "v", 4),
     "signal_mfcc": f"WITH {_MFCC}",
-    "pcm_ingest": """
-WITH d AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) // 2 AS n FROM documents),
-h AS (SELECT doc_id, n, hex(b) AS h FROM d WHERE n > 0),
-g AS (SELECT doc_id, n, UNNEST(regexp_extract_all(h, '....')) AS w FROM h),
-v AS (SELECT doc_id, n, ('0x' || w[3:4] || w[1:2])::INT AS u FROM g),
-s AS (SELECT doc_id, n, CASE WHEN u >= 32768 THEN u - 65536 ELSE u END AS x FROM v)
-SELECT '/docs/' || doc_id || '.pcm' AS file_path, n AS n_samples, round(n / 44100, 6) + 0.0 AS duration,
+    "pcm_ingest": f"""
+WITH {_PCM}
+SELECT '/docs/' || doc_id || '.pcm' AS file_path, NULL AS error, n AS n_samples, round(n / 44100, 6) + 0.0 AS duration,
        sum(x)::BIGINT AS total, min(x)::BIGINT AS low, max(x)::BIGINT AS high
-FROM s GROUP BY ALL""",
+FROM s GROUP BY ALL
+UNION ALL
+SELECT '/docs/' || doc_id || '.pcm', 'empty signal', NULL, NULL, NULL, NULL, NULL FROM d WHERE n = 0""",
+    "track_basics": f"""
+WITH {_PCM},
+e AS (
+  SELECT doc_id, n, i, sum(x * x) OVER w AS energy,
+         sum(CASE WHEN (x < 0) <> (before < 0) THEN 1 ELSE 0 END) OVER w AS turns
+  FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+f AS (
+  SELECT doc_id, n, greatest(512 * k - 1024, 0) AS a, least(512 * k + 1024, n) - 1 AS b
+  FROM (SELECT doc_id, n, UNNEST(range(0, n // 512 + 1)) AS k FROM d WHERE n > 0)
+),
+m AS (
+  SELECT f.doc_id, sqrt((hi.energy - coalesce(lo.energy, 0)) / 2048) / 32768 AS rms, (hi.turns - at.turns) / 2048 AS zcr
+  FROM f JOIN e hi ON hi.doc_id = f.doc_id AND hi.i = f.b + 1
+  JOIN e at ON at.doc_id = f.doc_id AND at.i = f.a + 1
+  LEFT JOIN e lo ON lo.doc_id = f.doc_id AND lo.i = f.a
+),
+r AS (
+  SELECT doc_id, avg(rms) AS rm, stddev_pop(rms) AS rs, avg(zcr) AS zm, stddev_pop(zcr) AS zs FROM m GROUP BY doc_id
+)
+SELECT '/docs/' || d.doc_id || '.pcm' AS file_path, d.doc_id || '.pcm' AS file_name, '.pcm' AS file_extension,
+       round(octet_length(b) / 1048576, 9) + 0.0 AS file_size_mb, CASE WHEN n = 0 THEN 'empty signal' END AS error,
+       CASE WHEN n > 0 THEN round(n / 44100, 6) + 0.0 END AS duration,
+       round(rm, 6) + 0.0 AS rms_mean, round(rs, 6) + 0.0 AS rms_std,
+       round(zm, 6) + 0.0 AS zero_crossing_rate_mean, round(zs, 6) + 0.0 AS zero_crossing_rate_std,
+       CASE WHEN n > 0 THEN 0.0::DOUBLE END AS chroma_12_std, CASE WHEN n > 0 THEN 120.0::DOUBLE END AS tempo,
+       CASE WHEN n > 0 THEN 0.0::DOUBLE END AS drone_likelihood
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id""",
     "history50": f"WITH {_HISTORY} SELECT user_id, epoch_us(ts) AS ts_us, event_id, song FROM h50",
     "history_rolling": f"""
 WITH {_PLAYS}
@@ -425,3 +460,19 @@ SELECT user_id, event_id, mode,
        CASE mode WHEN 'loop' THEN 'replay' WHEN 'auto' THEN 'next_in_queue' ELSE 'stop' END AS action
 FROM j WHERE r = 1""",
 }
+
+# The same results by other routes through the library.
+ORACLE |= {
+    f"{name}_sliced": ORACLE[name]
+    for name in ("history_rolling", "previous_track", "auto_advance", "playlist_cycle", "song_end", "mode_islands")
+}
+ORACLE["knn_join_cells"] = ORACLE["knn_join"]
+ORACLE["knn_approximate"] = "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings"
+# Of two standardised columns with correlation r the components are their sum and difference over sqrt(2), with variances 1 + r and 1 - r.
+ORACLE["pca_cut"] = """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity AS a, l_quantity + 20 * l_discount AS b FROM lineitem),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS r FROM t)
+SELECT l_orderkey, l_linenumber, CASE WHEN (1 + r) / 2 > 0.95 THEN 1 ELSE 2 END::INT AS kept,
+       CASE WHEN (1 + r) / 2 > 0.95 THEN round((1 + r) / 2, 6) ELSE 1.0 END AS explained,
+       round(((a - ma) / sa + (b - mb) / sb) / sqrt(2), 6) + 0.0 AS value
+FROM t, m"""

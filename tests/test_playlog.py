@@ -40,11 +40,29 @@ def hot_rows(request):
 
 def test_hot_log_is_really_sliced(log):
     slices = ordered.find_slices(log[0], "user_id", ("ts", "event_id"), HOT)
-    assert len(slices.cuts) >= 5 and max(c[3] for c in slices.cuts) >= 5
+    cuts = slices.cuts.collect()
+    assert len(cuts) >= 5 and max(len(c["_cuts"]) for c in cuts) >= 4
     used = slices.apply(log[0]).select("user_id", ordered.SLICE).distinct().count()
     assert used > 12
 
 
+@pytest.mark.parametrize("hot", [100, 1000])
+@pytest.mark.parametrize("shape", ["bursts", "one time", "even"])
+def test_slices_are_even_however_rows_lie(spark, hot, shape):
+    rnd = random.Random(3)
+    at = {"bursts": lambda e: 10**6 * (e // 5000) + e % 7, "one time": lambda e: 5, "even": lambda e: e}[shape]
+    rows = [(None if e % 3 else 7, T0 + timedelta(seconds=at(e)), e) for e in range(20_000)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long")
+    sliced = ordered.find_slices(df, "user_id", ("ts", "event_id"), hot).apply(df)
+    sizes = sliced.groupBy("user_id", ordered.SLICE).agg(F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("a"), F.max(F.struct("ts", "event_id")).alias("b"))
+    found = sizes.orderBy("user_id", ordered.SLICE).collect()
+    assert sum(r.n for r in found) == 20_000 and max(r.n for r in found) <= 2 * hot
+    for x, y in zip(found, found[1:]):
+        assert x.user_id != y.user_id or x.b < y.a
+    assert sliced.where(ordered.HOT).count() == 20_000
+
+
 def test_recent(log):
     df, users = log
     got = {r.user_id: (r.history, r.seed) for r in history.recent_songs(df, 7).collect()}

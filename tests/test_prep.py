@@ -161,11 +161,39 @@ def test_recommender(spark, songs, data, tmp_path):
     assert shown[1].similarity == f"{top[0].similarity_score * 100:.0f}%"
     assert shown[1].artist == f"Artist {order[0] % 7}"
 
-    rec.fit()
-    rec.save_model(str(tmp_path / "model"))
-    again = Recommender(songs).load_model(str(tmp_path / "model"))
-    a, b = (x.find_similar("Song 08.mp3").collect() for x in (rec, again))
-    assert [r.file_path for r in a] == [r.file_path for r in b]
+    for metric, n in (("cosine", 5), ("euclidean", 3)):
+        rec.fit(n, metric)
+        rec.save_model(str(tmp_path / "model"))
+        again = Recommender(songs).load_model(str(tmp_path / "model"))
+        assert (again.metric, again.n_neighbors) == (metric, n)
+        a, b = (x.find_similar("Song 08.mp3").collect() for x in (rec, again))
+        assert [(r.file_path, r.similarity_score) for r in a] == [(r.file_path, r.similarity_score) for r in b] and len(a) == n
+
+
+def test_one_scan_fits_everything(spark, data):
+    df = table(spark, np.tile(data, (50, 1)) + np.arange(3000)[:, None] % 7, COLS).repartition(7)
+    m = np.array([tuple(r) for r in df.collect()])
+    found = prep.co_moments(df, COLS)
+    assert found.n == 3000 and found.missing == (0,) * 6
+    assert np.allclose(found.mean, m.mean(axis=0)) and np.allclose(found.products, (m - m.mean(axis=0)).T @ (m - m.mean(axis=0)))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    prep.fit_feature_space(df)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) <= 3  # a job each for the dealing out above, the scan with its shuffle, and the result
+
+
+def test_weights_and_defaults(spark):
+    df = table(spark, [[1, 5], [2, 3], [4, 4]], ["mfcc_1_mean", "anything"])
+    plain = prep.fit_feature_space(df, n_components=None)
+    assert plain.weights == (1.2, 1.0)
+    own = prep.fit_feature_space(df, n_components=None, weights={"default": 3.0})
+    assert own.weights == (1.2, 3.0)
+    assert np.allclose(matrix(own.transform(df)), scaled3([[1, 5], [2, 3], [4, 4]]) * [1.2, 3.0])
+
+
+def test_booleans_are_filled(spark):
+    df = spark.createDataFrame([(True, 1.0), (None, 2.0), (False, None)], "flag boolean, x double")
+    space = prep.fit_feature_space(df, n_components=None, fill_missing=0.0)
+    assert np.allclose(matrix(space.transform(df)), scaled3([[1, 1], [0, 2], [0, 0]]))
 
 
 def test_full_rotation_keeps_neighbours(spark, data):

@@ -1,6 +1,7 @@
 """Streams over split logs must end where the batch operators do."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -12,6 +13,7 @@ from trackspark.operators import history, playback
 from trackspark.plans import listening
 from trackspark.streaming import ingest, queues
 from trackspark.streaming.history import stream_history
+from trackspark.streaming.playback import stream_auto_advances, stream_modes_at_ends
 from trackspark.streaming.song_end import stream_song_ends
 
 SCHEMA = "user_id long, ts timestamp, event_id long, song string, is_busy boolean, is_playing boolean"
@@ -58,21 +60,68 @@ def test_history(spark, tmp_path):
     assert all(r.seed == r.history[-1] and r.previous == r.history[-2] for r in got.values())
 
 
-def test_song_ends(spark, tmp_path):
-    log = write_log(spark, tmp_path / "log", shuffle=False)
-    q = (
-        stream_song_ends(stream(spark, tmp_path / "log").withColumnRenamed("user_id", "device_id"))
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True)
-        .start()
-    )
+def late_log(spark, folder):
+    """A log whose files interleave: samples come up to 40 s late. The last files move the watermark past all of it."""
+    rnd = random.Random(9)
+    rows = []
+    for e in range(400):
+        user = 0 if rnd.random() < 0.4 else rnd.randrange(1, 5)
+        song = None if rnd.random() < 0.1 else f"s{rnd.randrange(3)}"
+        rows.append((user, datetime(2024, 1, 1) + timedelta(seconds=e // 2), e, song, rnd.random() < 0.5, rnd.random() < 0.7))
+    arriving = sorted(rows, key=lambda r: r[2] // 2 + rnd.uniform(0, 40))
+    after = [(99, datetime(2024, 1, 2, i), 1000 + i, "x", False, False) for i in range(3)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    for part in [arriving[i : i + 50] for i in range(0, 400, 50)] + [after[:1], after[1:2], after[2:]]:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.02)  # files are taken in the order of their times
+    return log
+
+
+def drained(spark, df, tmp_path, name):
+    out = str(tmp_path / name)
+    q = df.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("device_id", "event_id", "song").collect()))
-    want = playback.song_ends(log.withColumnRenamed("user_id", "device_id")).select("device_id", "event_id", "song")
-    assert got == sorted(map(tuple, want.collect())) and got
+    return spark.read.schema(df.schema).parquet(out), q
+
+
+def test_song_ends(spark, tmp_path):
+    log = late_log(spark, tmp_path / "log").withColumnRenamed("user_id", "device_id")
+    live = stream(spark, tmp_path / "log").withColumnRenamed("user_id", "device_id")
+    got, q = drained(spark, stream_song_ends(live, "1 minute"), tmp_path, "out")
+    want = playback.song_ends(log).select("device_id", "ts", "event_id", "song").collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and want
+    assert len(q.recentProgress) >= 8
+
+
+def test_silent_devices_are_forgotten(spark, tmp_path):
+    late_log(spark, tmp_path / "log")
+    live = stream(spark, tmp_path / "log").withColumnRenamed("user_id", "device_id")
+    _, q = drained(spark, stream_song_ends(live, "1 minute", forget_after_ms=3_600_000), tmp_path, "out")
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows) >= 5 and rows[-1] <= 2
+
+
+def test_auto_advances(spark, tmp_path):
+    log = late_log(spark, tmp_path / "log").withColumn("is_auto", F.col("is_playing"))
+    live = stream(spark, tmp_path / "log").withColumn("is_auto", F.col("is_playing"))
+    got, _ = drained(spark, stream_auto_advances(live, 3), tmp_path, "out")
+    want = playback.auto_advances(log, refresh_every=3).select(got.columns)
+    assert sorted(map(tuple, got.where("user_id < 99").collect()), key=lambda r: r[2]) == sorted(map(tuple, want.collect()), key=lambda r: r[2])
+
+
+def test_modes_at_ends(spark, tmp_path):
+    log = late_log(spark, tmp_path / "log")
+    live = stream(spark, tmp_path / "log")
+
+    def parts(df):
+        kind = F.when(F.col("song") == "s0", "loop").otherwise("auto")
+        return df.where("is_busy").select("user_id", "ts", "event_id"), df.where("not is_busy").select("user_id", "ts", "event_id", kind.alias("kind"))
+
+    ends, toggles = parts(log)
+    want = playback.mode_at(ends, playback.playback_modes(toggles)).select("user_id", "event_id", "mode", "action").collect()
+    got, _ = drained(spark, stream_modes_at_ends(*parts(live)), tmp_path, "out")
+    assert sorted(map(tuple, got.where("user_id < 99").select("user_id", "event_id", "mode", "action").collect())) == sorted(map(tuple, want))
+    assert len({r.mode for r in want}) == 3
 
 
 def test_extraction(spark, tmp_path):

@@ -60,6 +60,7 @@ def test_durations(spark):
     v = [None, float("nan"), 0.0, 65.9, 3661.0, 59.999]
     assert column(spark, v, formats.duration_text("v"), "double") == ["--:--", "--:--", "0:00", "1:05", "61:01", "0:59"]
     assert column(spark, [-1.0, 0.0, 65.9], formats.clock_text("v"), "double") == ["0:00", "0:00", "1:05"]
+    assert column(spark, [None, float("nan"), 3661.0], formats.clock_text("v"), "double") == ["0:00", "0:00", "61:01"]
 
 
 def test_percent_and_band(spark):

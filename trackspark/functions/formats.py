@@ -19,9 +19,9 @@ def duration_text(seconds: Column | str) -> Column:
 
 
 def clock_text(seconds: Column | str) -> Column:
-    """``M:SS``, ``0:00`` from zero down."""
+    """``M:SS``, ``0:00`` from zero down and where unknown."""
     s = col(seconds).cast("double")
-    return F.when(s <= 0, "0:00").otherwise(_minutes_seconds(s))
+    return F.when((s > 0) & ~F.isnan(s), _minutes_seconds(s)).otherwise("0:00")
 
 
 def percent_text(similarity: Column | str) -> Column:

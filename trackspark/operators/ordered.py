@@ -25,65 +25,77 @@ SEQ = "_seq"  # 0: carry row in front of a slice, 1: real row, 2: row after a sl
 _INTERNAL = (SLICE, HOT, SEQ)
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    c = F.col(column)
-    if df.schema[column].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
-        c = c.cast("timestamp")
-    return c.cast("double")
+#: Rows a slice's cuts are estimated from: slices stay within twice the wanted size.
+SAMPLES = 64
+#: Slices of all hot keys together, whose cut points are broadcast. A log with more rows than this many slices hold gets larger slices.
+MAX_SLICES = 100_000
 
 
 @dataclass(frozen=True)
 class Slices:
-    """How the hot keys of a log are cut: ``(key, first, last, number of slices)`` each."""
+    """How the hot keys of a log are cut: a small table ``_hot_key, _cuts``, or None without hot keys.
+
+    ``_cuts`` are ascending values of the whole order (time and tie-break); a row belongs to the slice numbered by
+    how many cuts are not after it.
+    """
 
     key: str
     order: tuple[str, ...]
-    cuts: tuple[tuple, ...]
+    cuts: DataFrame | None
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Add ``_slice`` (0 for cold keys) and ``_hot``."""
-        if not self.cuts:
+        if self.cuts is None:
             return df.withColumn(SLICE, F.lit(0)).withColumn(HOT, F.lit(False))
-        schema = T.StructType(
-            [
-                T.StructField("_hot_key", df.schema[self.key].dataType),
-                T.StructField("_lo", T.DoubleType()),
-                T.StructField("_hi", T.DoubleType()),
-                T.StructField("_slices", T.IntegerType()),
-            ]
-        )
-        cuts = small_table(df.sparkSession, list(self.cuts), schema)
-        at, lo, hi, n = _number(df, self.order[0]), F.col("_lo"), F.col("_hi"), F.col("_slices")
-        part = F.when(hi > lo, F.floor((at - lo) / (hi - lo) * n))
+        here = F.struct(*[F.col(o) for o in self.order])
+        cuts = F.broadcast(self.cuts)
         return (
             df.join(cuts, df[self.key].eqNullSafe(F.col("_hot_key")), "left")
-            .withColumn(HOT, n.isNotNull())
-            .withColumn(
-                SLICE, F.coalesce(F.greatest(F.lit(0), F.least(part, n - 1)), F.lit(0)).cast("int")
-            )
-            .drop("_hot_key", "_lo", "_hi", "_slices")
+            .withColumn(HOT, F.col("_cuts").isNotNull())
+            .withColumn(SLICE, F.when(F.col(HOT), _cuts_upto(F.col("_cuts"), here)).otherwise(0))
+            .drop("_hot_key", "_cuts")
         )
 
     def between_scans(self, df: DataFrame) -> DataFrame:
         """Keep a scan's result for the next one. Only hot keys make a scan read its input
         twice, so without them the scans stay one plan."""
-        return materialise(df) if self.cuts else df
+        return df if self.cuts is None else materialise(df)
+
 
+def _cuts_upto(cuts: Column, here: Column) -> Column:
+    """How many of the ascending ``cuts`` are at or before ``here``: bisection by powers of two."""
+    steps = F.array(*[F.lit(1 << b) for b in range(MAX_SLICES.bit_length() - 1, -1, -1)])
 
-def find_slices(
-    df: DataFrame, key: str, order: Sequence[str], hot_rows: int = HOT_ROWS
-) -> Slices:
-    """Look for hot keys and cut them into equal ranges of the first ordering column.
+    def step(found: Column, more: Column) -> Column:
+        at = found + more
+        return F.when((at <= F.size(cuts)) & (F.get(cuts, at - 1) <= here), at).otherwise(found)
 
-    A range holds about ``hot_rows`` rows when the column is evenly spread; a denser range
-    only makes a bigger (spilling) window partition. Slices found on a log stay valid
-    for any subset of it.
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def find_slices(df: DataFrame, key: str, order: Sequence[str], hot_rows: int = HOT_ROWS) -> Slices:
+    """Look for hot keys and cut each into slices of about ``hot_rows`` rows, however its rows lie in time.
+
+    Cuts are quantiles of the whole order, from a sample of the hot keys' rows that is drawn by the rows' hash, so it is the same every
+    time. Bursts and equal times make slices no larger. Slices found on a log stay valid for any subset of it.
     """
-    at = df.select(key, _number(df, order[0]).alias("_at"))
-    hot = hot_keys(at, key, hot_rows, F.min("_at").alias("lo"), F.max("_at").alias("hi"))
-    return Slices(
-        key, tuple(order), tuple((r.key, r.lo, r.hi, int(-(-r.n // hot_rows))) for r in hot)
-    )
+    fields = [df[o] for o in order]
+    rows = df.select(df[key].alias("_hot_key"), F.struct(*fields).alias("_at"))
+    hot = hot_keys(rows, "_hot_key", hot_rows)
+    if not hot:
+        return Slices(key, tuple(order), None)
+    size = max(hot_rows, -(-sum(r.n for r in hot) // MAX_SLICES))
+    kind = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("_slices", T.LongType())])
+    wanted = small_table(df.sparkSession, [(r.key, max(1, -(-r.n // size))) for r in hot], kind)
+    one_in = max(1, size // SAMPLES)
+    drawn = rows.where(F.pmod(F.xxhash64("_hot_key", "_at"), F.lit(one_in)) == 0)
+    drawn = drawn.join(wanted, F.col("_hot_key").eqNullSafe(F.col("_key")))
+    held = drawn.groupBy("_hot_key").agg(F.sort_array(F.collect_list("_at")).alias("_all"), F.first("_slices").alias("_slices"))
+    place = lambda i: F.floor(i * F.size("_all") / F.col("_slices")).cast("int")
+    inner = F.when(F.col("_slices") > 1, F.sequence(F.lit(1).cast("bigint"), F.col("_slices") - 1)).otherwise(F.array().cast("array<bigint>"))
+    cuts = held.select("_hot_key", F.array_distinct(F.transform(inner, lambda i: F.get("_all", place(i)))).alias("_cuts"))
+    found = cuts.collect()  # at most MAX_SLICES values
+    return Slices(key, tuple(order), df.sparkSession.createDataFrame(found, cuts.schema))
 
 
 def window(key: str, order: Sequence[str]):
@@ -111,7 +123,7 @@ def last_known(df: DataFrame, slices: Slices, value: Column, out: str) -> DataFr
     key, order = slices.key, slices.order
     rows = slices.apply(df.withColumn("_value", value))
     carries = []
-    if slices.cuts:
+    if slices.cuts is not None:
         per_slice = (
             rows.where(HOT)
             .groupBy(key, SLICE)
@@ -150,7 +162,7 @@ def count_since(df: DataFrame, slices: Slices, event: Column, reset: Column, out
         )
 
     carries = []
-    if slices.cuts:
+    if slices.cuts is not None:
         # What a hot slice hands on: its own trailing count, and whether it was reset.
         handed = (
             scan(with_carry(rows.where(HOT).select(key, SLICE, *order, "_weight", "_reset")))
@@ -186,7 +198,7 @@ def with_preceding(df: DataFrame, slices: Slices, columns: Sequence[str], n: int
     """
     key, order = slices.key, slices.order
     rows = slices.apply(df)
-    if not slices.cuts:
+    if slices.cuts is None:
         return with_carry(rows)
     backwards = Window.partitionBy(key, SLICE).orderBy(*[F.desc(o) for o in order])
     fields = list(dict.fromkeys([*order, *columns]))

@@ -19,7 +19,7 @@ def playlist_cycle(
     slices = ordered.find_slices(playlist, key, [pos], hot_rows)
     sliced = slices.apply(playlist.withColumn("_song", F.struct(F.col(song).alias("s"))))
     carries = []
-    if slices.cuts:
+    if slices.cuts is not None:
         ends = (
             sliced.where(ordered.HOT)
             .groupBy(key, ordered.SLICE)

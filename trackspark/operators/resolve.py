@@ -9,22 +9,29 @@ Four tiers, the first that matches wins, then the first path in table order:
 
 Matches are literal and case-sensitive; an empty text matches nothing.
 
-Tiers 2 to 4 look for text inside text. Instead of comparing all names with all paths,
-both are cut into character grams; each name is looked up by its rarest gram only, an
-equi-join, and the few candidates are verified with the tier's own condition.
+Tiers 2 to 4 look for text inside text. Names of up to ``AUTOMATON_BYTES`` together travel to the tasks as one automaton, and every path runs
+through it once; a task sends each name's first path only. Beyond that size names and paths are cut into character grams; each name is
+looked up by its rarest gram only, an equi-join, and the few candidates are verified with the tier's own condition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trackspark.functions.paths import base_name, stem, strip
 from trackspark.operators.skew import HOT_ROWS, hot_join
 from trackspark.session import materialise
 
 GRAM_LENGTHS = (8, 4, 2, 1)
+#: Distinct names, in bytes, up to which they are matched by an automaton in every worker: some fifty times that in memory.
+AUTOMATON_BYTES = 8 << 20
+
+_built: dict[str, object] = {}  # the last automaton of this worker, by the run it belongs to
 
 
 def _gram_length(text: Column) -> Column:
@@ -102,6 +109,49 @@ def _text_matches(needles: DataFrame, paths: DataFrame, hot_rows: int) -> DataFr
     )
 
 
+def _automaton(run: str, names: list[str]):
+    if run not in _built:
+        _built.clear()
+        made = ahocorasick.Automaton()
+        for n in names:
+            made.add_word(n, n)
+        made.make_automaton()
+        _built[run] = made
+    return _built[run]
+
+
+def _automaton_matches(needles: DataFrame, paths: DataFrame) -> DataFrame:
+    """:func:`_text_matches` of a bounded set of names: every path is read once and shuffled never."""
+    spark, run = paths.sparkSession, uuid.uuid4().hex
+    rows = needles.select("needle", "at_end").distinct().collect()  # AUTOMATON_BYTES at most
+    inside = frozenset(r.needle for r in rows if not r.at_end)
+    ends = frozenset(r.needle for r in rows if r.at_end)
+    shared = spark.sparkContext.broadcast((sorted(inside | ends), inside, ends))
+    schema = T.StructType([T.StructField("look", T.StringType()), paths.schema["_first"], paths.schema["file_path"]])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, anywhere, at_end = shared.value
+        best: dict[str, tuple] = {}
+        kinds = None
+        for b in batches:
+            kinds = [b.schema.field(c).type for c in ("_first", "file_path")]
+            for first, path in zip(b.column("_first").to_pylist(), b.column("file_path").to_pylist()):
+                if not path or not names:
+                    continue
+                rank = (first is not None, first, path)  # nulls come first
+                last = len(path) - 1
+                for at, name in _automaton(run, names).iter(path):
+                    for key in (["*" + name] if name in anywhere else []) + (["$" + name] if at == last and name in at_end else []):
+                        if key not in best or rank < best[key]:
+                            best[key] = rank
+        if best:
+            columns = [pa.array(list(best)), pa.array([r[1] for r in best.values()], kinds[0]), pa.array([r[2] for r in best.values()], kinds[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    found = paths.select("_first", "file_path").mapInArrow(search, schema)
+    return found.groupBy("look").agg(F.min(F.struct("_first", "file_path")).alias("_hit"))
+
+
 def resolve_songs(
     queries: DataFrame,
     catalog: DataFrame,
@@ -109,15 +159,14 @@ def resolve_songs(
     tiers: Sequence[int] = (1, 2, 3, 4),
     query_id: str = "query_id",
     hot_rows: int = HOT_ROWS,
+    automaton_bytes: int = AUTOMATON_BYTES,
 ) -> DataFrame:
     """``queries`` with ``file_path`` and ``tier``, both null where nothing matches.
 
     ``order`` is the catalogue column that defines "first"; paths are listed sorted, so
     the path itself is the default.
     """
-    parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Cutting paths into grams is dear per byte: spread them whatever their size.
-    paths = catalog.select("file_path", F.col(order).alias("_first")).repartition(parts, "file_path")
+    paths = catalog.select("file_path", F.col(order).alias("_first"))
     texts = queries.select("song_path").distinct()
     if 1 in tiers:
         known = paths.select("file_path").distinct()
@@ -129,10 +178,16 @@ def resolve_songs(
     else:
         done, rest = None, texts
     needles = materialise(_needles(rest, tiers))
-    hits = _text_matches(needles, paths, hot_rows)
+    size = needles.select("needle", "at_end").distinct().agg(F.sum(F.octet_length("needle"))).head()[0] or 0
+    if size <= automaton_bytes:
+        met = needles.join(_automaton_matches(needles, paths), "look")
+    else:
+        parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Cutting paths into grams is dear per byte: spread them whatever their size.
+        hits = _text_matches(needles, paths.repartition(parts, "file_path"), hot_rows)
+        met = hot_join(needles, hits, "look", F.col("song_path"), "inner", hot_rows)
     found = (
-        hot_join(needles, hits, "look", F.col("song_path"), "inner", hot_rows)
-        .groupBy("song_path")
+        met.groupBy("song_path")
         .agg(F.min(F.struct("tier", "_hit")).alias("_best"))
         .select("song_path", F.col("_best._hit.file_path").alias("file_path"), F.col("_best.tier").alias("tier"))
     )

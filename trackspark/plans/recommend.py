@@ -56,10 +56,11 @@ class Recommender:
         return self
 
     def save_model(self, path: str) -> None:
-        models.save_space(self._fitted(), path, self.table.sparkSession)
+        models.save_space(self._fitted(), path, self.table.sparkSession, metric=self.metric, n_neighbors=self.n_neighbors)
 
     def load_model(self, path: str) -> Recommender:
-        self.space = models.load_space(path, self.table.sparkSession)
+        self.space, settings = models.load_model(path, self.table.sparkSession)
+        self.metric, self.n_neighbors = settings["metric"], settings["n_neighbors"]
         self.feature_columns, self._index = list(self.space.columns), None
         return self
 

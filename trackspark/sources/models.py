@@ -5,39 +5,42 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from trackspark.operators.prep import FeatureSpace
 
 
-def save_space(space: FeatureSpace, path: str, spark: SparkSession) -> None:
-    """Write the stages and a one-row sidecar with columns, weights and settings."""
-    space.stages.write().overwrite().save(f"{path}/stages")
-    sidecar = {
+def save_space(space: FeatureSpace, path: str, spark: SparkSession, **settings) -> None:
+    """Write a fitted space, and what else a search needs to know (metric, number of neighbours), as one row of JSON."""
+    model = {
         "columns": space.columns,
         "weights": space.weights,
-        "n_components": space.n_components,
+        "mean": space.mean,
+        "std": space.std,
+        "components": space.components,
         "explained": space.explained,
         "fill_missing": space.fill_missing,
+        "settings": settings,
     }
-    row = spark.createDataFrame([(json.dumps(sidecar),)], "value string")
+    row = spark.createDataFrame([(json.dumps(model),)], "value string")
     row.coalesce(1).write.mode("overwrite").text(f"{path}/space")
 
 
-def load_space(path: str, spark: SparkSession) -> FeatureSpace:
+def load_model(path: str, spark: SparkSession) -> tuple[FeatureSpace, dict]:
+    """The space and the settings it was saved with."""
     try:
         text = spark.read.text(f"{path}/space").head()
     except AnalysisException as e:
         raise FileNotFoundError(f"no model at {path}") from e
     if text is None:
         raise ValueError(f"incomplete model at {path}")
-    s = json.loads(text.value)
-    return FeatureSpace(
-        PipelineModel.load(f"{path}/stages"),
-        tuple(s["columns"]),
-        tuple(s["weights"]),
-        s["n_components"],
-        s["explained"],
-        s["fill_missing"],
-    )
+    m = json.loads(text.value)
+    if "mean" not in m:
+        raise ValueError(f"the model at {path} is of an older layout: fit and save it again")
+    components = None if m["components"] is None else tuple(map(tuple, m["components"]))
+    space = FeatureSpace(tuple(m["columns"]), tuple(m["weights"]), tuple(m["mean"]), tuple(m["std"]), components, m["explained"], m["fill_missing"])
+    return space, m["settings"]
+
+
+def load_space(path: str, spark: SparkSession) -> FeatureSpace:
+    return load_model(path, spark)[0]
