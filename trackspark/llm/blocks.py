@@ -72,7 +72,7 @@ def write_blocks(docs: DataFrame, id_col="doc_id", text_col="text", block_bytes:
         if ids:
             yield out()
 
-    return write_table(rows.mapInArrow(giving_back(run, WORDS), SCHEMA + (", " + look_schema if look_schema else "")), "blocks")
+    return write_table(rows.mapInArrow(giving_back(run, forget_words), SCHEMA + (", " + look_schema if look_schema else "")), "blocks")
 
 
 def row_key(block: int, position: int) -> int:
@@ -96,7 +96,7 @@ def each_block(table: DataFrame, schema: str, work: Callable) -> DataFrame:
                 for made in work(row):
                     yield pa.RecordBatch.from_arrays([pa.array(made[n], kinds[k]) for n, k in columns], names=[n for n, _ in columns])
 
-    return table.mapInArrow(giving_back(run, WORDS), schema)
+    return table.mapInArrow(giving_back(run, forget_words), schema)
 
 
 class Shards:
@@ -176,6 +176,10 @@ class Words(dict):
 WORDS = Words()
 
 
+def forget_words() -> None:
+    WORDS.clear()
+
+
 def word_digests(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 

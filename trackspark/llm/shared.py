@@ -67,26 +67,29 @@ def _remove() -> None:
             continue
 
 
-def giving_back(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterator], Iterator]:
-    """A task body that leaves no memory behind in its worker, which goes on to serve other stages: caches are emptied, and
-    what Arrow and the C library have kept of freed memory goes back to the system."""
+def give_back() -> None:
+    """Return to the system what Arrow and the C library have kept of freed memory."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """A task body that leaves no memory behind in its worker, which goes on to serve other stages. ``forget`` empties the
+    worker's caches: a function of a module, so that it finds the worker's and not a copy."""
 
     def task(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            for c in caches:
-                c.clear()
-            pa.default_memory_pool().release_unused()
-            if hasattr(_libc, "malloc_trim"):
-                _libc.malloc_trim(0)
+            if forget is not None:
+                forget()
+            give_back()
 
     return task
 
 
-_libc = ctypes.CDLL(None)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

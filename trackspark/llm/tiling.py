@@ -35,6 +35,10 @@ class _Normal(dict):
 _normal = _Normal()
 
 
+def forget_words() -> None:
+    _normal.clear()
+
+
 def tokens(text: str | None) -> np.ndarray:
     words = (text or "").lower().split()
     found = np.fromiter(map(_normal.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -152,6 +156,6 @@ def contaminated(
                     names=[id_col, "item_id", "item_words", "covered_words", "coverage", "tiles"],
                 )
 
-        found = rows.mapInArrow(giving_back(run, _normal), f"`{id_col}` {kind}, item_id {item_kind}, item_words long, covered_words long, coverage double, tiles long")
+        found = rows.mapInArrow(giving_back(run, forget_words), f"`{id_col}` {kind}, item_id {item_kind}, item_words long, covered_words long, coverage double, tiles long")
         out = found if out is None else out.unionByName(found)
     return out
