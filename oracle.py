@@ -355,9 +355,9 @@ f AS (
   FROM (SELECT doc_id, n, UNNEST(range(0, n // 512 + 1)) AS k FROM d WHERE n > 0)
 ),
 m AS (
-  SELECT f.doc_id, sqrt((hi.energy - coalesce(lo.energy, 0)) / 2048) / 32768 AS rms, (hi.turns - at.turns) / 2048 AS zcr
+  SELECT f.doc_id, sqrt((hi.energy - coalesce(lo.energy, 0)) / 2048) / 32768 AS rms, (hi.turns - fst.turns) / 2048 AS zcr
   FROM f JOIN e hi ON hi.doc_id = f.doc_id AND hi.i = f.b + 1
-  JOIN e at ON at.doc_id = f.doc_id AND at.i = f.a + 1
+  JOIN e fst ON fst.doc_id = f.doc_id AND fst.i = f.a + 1
   LEFT JOIN e lo ON lo.doc_id = f.doc_id AND lo.i = f.a
 ),
 r AS (
