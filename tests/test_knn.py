@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackspark.operators import knn, resolve
+from trackspark.operators import hashing, knn, resolve
 
 
 def vectors(spark, m, ids=None):
@@ -72,14 +72,75 @@ def test_far_cells_are_skipped(spark):
     index = knn.build_index(vectors(spark, m), 3, rows_per_cell=25)
     d = knn._distances(knn._points(m, "cosine", 1), index.pivots)
     arrays = (index.pivots, index.count, index.nearest, index.farthest)
-    opened = knn._open_cells(d, arrays, np.full(len(m), 0.1))
+    opened = knn._least_distances(d, arrays) <= 0.1
     assert opened.sum(axis=1).max() < len(index.count)
-    got = as_dict(knn.knn_join(index, vectors(spark, m), 3))
+    compared = []
+    got = as_dict(knn.knn_join(index, vectors(spark, m), 3, report=compared))
+    assert len(compared) == 3 and sum(compared) < 0.5 * len(m) ** 2
     assert {q: [i for i, _ in v] for q, v in got.items()} == {
         q: [i for i, _ in v] for q, v in brute(m, 3).items()
     }
 
 
+def test_rounds_meet_no_cell_twice():
+    rng = np.random.default_rng(3)
+    points, pivots = rng.normal(size=(200, 6)), rng.normal(size=(30, 6))
+    count = rng.integers(0, 9, 30)
+    arrays = (pivots, count, np.zeros(30), np.full(30, 2.0))
+    first, second = np.full(200, 2.5), np.full(200, 2.0)
+    masks = [knn._asked_cells(points, arrays, 5, done, len(done) == 2) for done in ([], [first], [first, second])]
+    assert (np.sum(masks, axis=0) <= 1).all() and masks[1].sum(axis=1).max() <= knn.NEAR_CELLS
+    low = knn._least_distances(knn._distances(points, pivots), arrays)
+    assert (np.sum(masks, axis=0).astype(bool) >= (low <= 2.0)).all()
+
+
+def unit(rng, n, d):
+    m = rng.normal(size=(n, d))
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
+def test_hashed_search_finds_most(spark):
+    rng = np.random.default_rng(5)
+    centres = unit(rng, 40, 16)
+    m = np.repeat(centres, 25, axis=0) + 0.15 * rng.normal(size=(1000, 16))
+    m[7] = 0
+    lib = vectors(spark, m)
+    index = hashing.build_hash_index(lib, 5, tables=6, probes=4, rows_per_bucket=64)
+    assert index.directions.shape[1] == 6
+    exact = brute(m, 5)
+    got = as_dict(hashing.approximate_knn_join(index, lib, 5))
+    hits = sum(len({i for i, _ in got.get(q, [])} & {i for i, _ in exact[q]}) for q in exact)
+    assert hits >= 0.9 * 5 * len(m)
+    scores = {(q, i): s for q, v in brute(m, len(m) - 1).items() for i, s in v}
+    for q, found in got.items():
+        assert len(found) <= 5 and q not in {i for i, _ in found}
+        for i, s in found:
+            assert s == pytest.approx(scores[q, i], abs=1e-9)
+    row = hashing.recall(index, lib, knn.knn_join(knn.build_index(lib, 5), lib, 5), 5).head()
+    assert row.n_queries == 1000 and row.wanted == 5000 and row.found >= 4500
+    with pytest.raises(ValueError):
+        hashing.approximate_knn_join(index, lib, 6)
+
+
+def test_hashed_search_splits_hot_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    m = np.concatenate([np.ones((100, 4)) + 0.1 * rng.normal(size=(100, 4)), rng.normal(size=(20, 4))])
+    lib = vectors(spark, m)
+    index = hashing.build_hash_index(lib, 3, tables=2, probes=1)
+    whole = hashing.approximate_knn_join(index, lib, 3).collect()
+    monkeypatch.setattr(hashing, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(hashing, "CHUNK_ROWS", 20)
+    assert sorted(hashing.approximate_knn_join(index, lib, 3).collect()) == sorted(whole) and len(whole) > 300
+    plan = hashing.approximate_knn_join(hashing.build_hash_index(lib, 3), lib, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_probes_change_the_least_sure_signs():
+    products = np.array([[[0.1, -0.5, 2.0]]])
+    codes = np.array([[0b101]])
+    assert hashing.probe_codes(codes, products, 4).tolist() == [[[0b101, 0b100, 0b111, 0b110]]]
+
+
 def test_fewer_rows_than_asked(spark):
     lib = vectors(spark, np.eye(3))
     got = as_dict(knn.knn_join(knn.build_index(lib, 5), lib, 5))
@@ -145,33 +206,38 @@ ASKED = {
 }
 
 
-def test_resolve(spark):
+@pytest.mark.parametrize("automaton", [resolve.AUTOMATON_BYTES, -1])
+def test_resolve(spark, automaton):
     catalog = spark.createDataFrame([(p,) for p in reversed(CATALOG)], "file_path string")
     asked = spark.createDataFrame([(k, v[0]) for k, v in ASKED.items()], "query_id string, song_path string")
     for hot in (10**6, 3):
-        got = {r.query_id: (r.file_path, r.tier) for r in resolve.resolve_songs(asked, catalog, hot_rows=hot).collect()}
+        got = {r.query_id: (r.file_path, r.tier) for r in resolve.resolve_songs(asked, catalog, hot_rows=hot, automaton_bytes=automaton).collect()}
         assert got == {k: v[1:] for k, v in ASKED.items()}
     for text, path, tier in ASKED.values():
         row = resolve.resolve_one(catalog, text).head()
         assert (row and (row.file_path, row.tier)) == (path and (path, tier))
 
 
-def test_resolve_many_alike(spark):
+@pytest.mark.parametrize("automaton", [resolve.AUTOMATON_BYTES, -1])
+def test_resolve_many_alike(spark, automaton):
     """A third of all queries ask for one song, and one gram is in every path."""
     catalog = spark.range(60).select(F.format_string("/lib/common name %03d.mp3", "id").alias("file_path"))
     asked = spark.range(90).select(
         F.col("id").alias("query_id"),
         F.when(F.col("id") < 30, "/x/name 007.mp3").otherwise(F.format_string("%03d.ogg", F.col("id"))).alias("song_path"),
     )
-    got = {r.query_id: r.file_path for r in resolve.resolve_songs(asked, catalog, hot_rows=10).collect()}
+    got = {r.query_id: r.file_path for r in resolve.resolve_songs(asked, catalog, hot_rows=10, automaton_bytes=automaton).collect()}
     want = {i: "/lib/common name 007.mp3" if i < 30 else f"/lib/common name {i:03d}.mp3" if i < 60 else None for i in range(90)}
     assert got == want
-    plan = resolve.resolve_songs(asked, catalog)._jdf.queryExecution().executedPlan().toString()
+    plan = resolve.resolve_songs(asked, catalog, automaton_bytes=automaton)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_resolve_in_table_order(spark):
-    catalog = spark.createDataFrame([("/a/x.mp3", 2), ("/b/x.mp3", 1)], "file_path string, ord int")
-    asked = spark.createDataFrame([(1, "x.mp3")], "query_id int, song_path string")
-    assert resolve.resolve_songs(asked, catalog, order="ord").head().file_path == "/b/x.mp3"
+    rows = [("/a/x.mp3", 2), ("/b/x.mp3", 1), (None, 0), ("/c/é日.mp3", 9), ("/d/é日.mp3", None)]
+    catalog = spark.createDataFrame(rows, "file_path string, ord int")
+    asked = spark.createDataFrame([(1, "x.mp3"), (2, "é日.ogg"), (3, None)], "query_id int, song_path string")
+    for automaton in (resolve.AUTOMATON_BYTES, -1):
+        got = {r.query_id: r.file_path for r in resolve.resolve_songs(asked, catalog, order="ord", automaton_bytes=automaton).collect()}
+        assert got == {1: "/b/x.mp3", 2: "/d/é日.mp3", 3: None}
     assert resolve.resolve_one(catalog, "x.mp3", "ord").head().file_path == "/b/x.mp3"

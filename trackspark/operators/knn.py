@@ -2,9 +2,10 @@
 
 Many seeds against a large library is answered without comparing every pair of rows in
 one place. The library is cut into cells around pivots (a bounded number of its own
-rows) and each cell into blocks of bounded size. A seed first meets the cell or cells
+rows, more of them the larger the library) and each cell into blocks of bounded size. A seed first meets the cell or cells
 nearest to it, which gives it a k-th best distance; by the triangle inequality it then
-needs only those further cells that could hold something closer. Seeds and blocks meet
+needs only those further cells that could hold something closer. It meets the nearest of these next, which tightens that
+distance, and then what is still open. Seeds and blocks meet
 through an equi-join on (cell, block, seed chunk), each group bounded on both sides, and
 leave at most k rows per seed and block. Pivot cells with triangle-inequality bounds are
 the published approach of Lu et al., "Efficient Processing of k Nearest Neighbor Joins
@@ -29,11 +30,14 @@ from trackspark.session import materialise
 
 METRICS = ("cosine", "euclidean")
 ROWS_PER_CELL = 50_000
-MAX_CELLS = 1024  # pivots and cell statistics are broadcast: at most 1024 x d doubles
+PIVOT_BYTES = 8 << 20  # pivots and cell statistics travel to every task: cells stop growing in number, not in size, there
+MAX_CELLS = 16_384
+NEAR_CELLS = 4  # cells of the second round
 BLOCK_ROWS = 32_768  # library rows per group
 CHUNK_ROWS = 8_192  # seeds per group
 MAX_PARTITIONS = 20_000
 _TILE = 256  # seeds multiplied at once inside a group
+_SLICE = 512  # rows whose distances to all pivots are in memory at once
 _SLACK = 1e-9  # covers rounding in bounds and block products; candidates are re-scored
 
 
@@ -118,7 +122,7 @@ class NeighbourIndex:
     """A library ready for :func:`knn_join`.
 
     ``rows``: ``id, point, cell``. ``pivots`` and the per-cell ``count, nearest,
-    farthest`` are bounded by ``MAX_CELLS``.
+    farthest`` are bounded by ``MAX_CELLS`` and ``PIVOT_BYTES``.
     """
 
     rows: DataFrame
@@ -154,8 +158,9 @@ def build_index(
         .where(F.col("_rn") <= k_max + 1)
         .select("id", "v")
     )
-    n = lib.count()
-    cells = int(min(MAX_CELLS, max(1, -(-n // rows_per_cell))))
+    size = lib.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).head()
+    n = size.n
+    cells = int(min(MAX_CELLS, PIVOT_BYTES // (8 * ((size.d or 0) + 2)), max(1, -(-n // rows_per_cell))))
     id_type = lib.schema["id"].dataType
     schema = T.StructType(
         [
@@ -179,9 +184,9 @@ def build_index(
             if pivots is None:
                 cell, dist = np.zeros(len(p), np.int32), np.zeros(len(p))
             else:
-                d = _distances(p, pivots)
-                cell = d.argmin(axis=1).astype(np.int32)
-                dist = d[np.arange(len(p)), cell]
+                parts = [_distances(p[a : a + _SLICE], pivots) for a in range(0, len(p), _SLICE)]
+                cell = np.concatenate([d.argmin(axis=1) for d in parts]).astype(np.int32)
+                dist = np.concatenate([d.min(axis=1) for d in parts])
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), _lists(p), pa.array(cell), pa.array(dist)],
                 ["id", "point", "cell", "dist"],
@@ -211,18 +216,36 @@ def _home_cells(d: np.ndarray, count: np.ndarray, need: int) -> np.ndarray:
     return mask & (count > 0)[None, :]
 
 
-def _open_cells(d: np.ndarray, index_arrays, theta: np.ndarray) -> np.ndarray:
-    """Mask of cells that may hold a point within ``theta`` of the seed."""
+def _least_distances(d: np.ndarray, index_arrays) -> np.ndarray:
+    """What every cell's points are away from each seed at least; infinite for empty cells."""
     pivots, count, nearest, farthest = index_arrays
     low = np.maximum(d - farthest[None, :], nearest[None, :] - d)
     # Points of cell j are nearer to pivot j than to the seed's own pivot i.
     own = d.argmin(axis=1)
-    gap = _distances(pivots, pivots)[own]
+    gap = _distances(pivots[own], pivots)
     own_d = d[np.arange(len(d)), own][:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         plane = np.where(gap > 0, (d**2 - own_d**2) / (2 * gap), 0.0)
-    low = np.maximum(low, plane)
-    return (low <= theta[:, None] + _SLACK) & (count > 0)[None, :]
+    return np.where((count > 0)[None, :], np.maximum(low, plane), np.inf)
+
+
+def _asked_cells(points: np.ndarray, index_arrays, need: int, done: list[np.ndarray], last: bool) -> np.ndarray:
+    """Mask of the cells a seed meets in this round. ``done`` has the k-th best distance after each round before.
+
+    Round one takes the nearest cells, round two the ``NEAR_CELLS`` most promising of those that are open, and the last all that
+    are still open. The cells of earlier rounds follow from the distances known then, so they needn't be kept.
+    """
+    pivots, count = index_arrays[:2]
+    d = _distances(points, pivots)
+    mask = _home_cells(d, count, need)
+    if not done:
+        return mask
+    low = np.where(mask, np.inf, _least_distances(d, index_arrays))
+    order = np.argsort(low, axis=1, kind="stable")[:, :NEAR_CELLS]
+    near = np.zeros(d.shape, bool)
+    np.put_along_axis(near, order, True, axis=1)
+    second = near & (low <= done[0][:, None] + _SLACK)
+    return second if not last else (low <= done[1][:, None] + _SLACK) & ~second
 
 
 def _block_top_k(seeds: pa.Table, block: pa.Table, k: int, metric: str, drop_self: bool, fields) -> pa.Table:
@@ -331,11 +354,12 @@ def knn_join(
     exclude_self: bool = True,
     id_col: str = "id",
     vector: str = "vector",
+    report: list[int] | None = None,
 ) -> DataFrame:
     """The ``k`` nearest library rows of every seed: ``query_id, id, score, rank``.
 
     Exact, with ties broken by id. Seed ids must be distinct. ``exclude_self`` drops the
-    library row whose id is the seed's id.
+    library row whose id is the seed's id. ``report`` gets the number of pairs that each round compares.
     """
     if k > index.k_max:
         raise ValueError(f"k={k} exceeds the index's k_max={index.k_max}")
@@ -351,24 +375,25 @@ def knn_join(
             T.StructField("cell", T.IntegerType()),
         ]
     )
-    single = len(count) == 1
     need = k + 1
+    thetas = [f"theta{i}" for i in range(2)]
 
-    def probes(second: bool):
+    def probes(rounds: int):
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows == 0:
                     continue
                 p = _points(_matrix(b.column("v")), metric, 1)
-                if single:
+                if len(count) == 1:
                     i, cell = np.arange(len(p)), np.zeros(len(p), np.int32)
                 else:
-                    d = _distances(p, pivots)
-                    mask = _home_cells(d, count, need)
-                    if second:
-                        theta = b.column("theta").to_numpy(zero_copy_only=False)
-                        mask = _open_cells(d, arrays, theta) & ~mask
-                    i, cell = np.nonzero(mask)
+                    known = [b.column(t).to_numpy(zero_copy_only=False) for t in thetas[:rounds]]
+                    found = []
+                    for a in range(0, len(p), _SLICE):
+                        part = slice(a, a + _SLICE)
+                        i, cell = np.nonzero(_asked_cells(p[part], arrays, need, [t[part] for t in known], rounds == 2))
+                        found.append((i + a, cell))
+                    i, cell = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 if len(i):
                     yield pa.RecordBatch.from_arrays(
                         [b.column("query_id").take(pa.array(i)), _lists(p[i]), pa.array(cell.astype(np.int32))],
@@ -377,24 +402,28 @@ def knn_join(
 
         return emit
 
-    first = _meet(index, q.mapInArrow(probes(False), probe_schema), k, exclude_self)
-    if single:
-        return _top_k(first, k)
-    first = materialise(_top_k(first, k).drop("rank"))
     reach = (
         F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0)))
         if metric == "cosine"
         else 1 - F.col("score")
     )
-    theta = first.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max(reach)).otherwise(F.lit(float("inf"))).alias("theta")
-    )
-    wider = q.join(theta, "query_id", "left").withColumn(
-        "theta", F.coalesce("theta", F.lit(float("inf")))
-    )
-    more = materialise(wider.mapInArrow(probes(True), probe_schema))
-    second = _meet(index, more, k, exclude_self)
-    return _top_k(first.unionByName(second), k)
+    best, asking = None, q
+    for rounds in range(1 if len(count) == 1 else 3):
+        asked = asking.mapInArrow(probes(rounds), probe_schema)
+        asked = asked if rounds == 0 else materialise(asked)
+        if report is not None:
+            held = asked.groupBy("cell").agg(F.count("*").alias("n")).collect()
+            report.append(sum(int(r["n"]) * int(count[r["cell"]]) for r in held))
+        met = _meet(index, asked, k, exclude_self)
+        best = _top_k(met if best is None else best.unionByName(met), k)
+        if len(count) == 1 or rounds == 2:
+            return best
+        best = materialise(best.drop("rank"))
+        theta = best.groupBy("query_id").agg(
+            F.when(F.count(F.lit(1)) >= k, F.max(reach)).otherwise(F.lit(float("inf"))).alias(thetas[rounds])
+        )
+        asking = asking.join(theta, "query_id", "left").withColumn(thetas[rounds], F.coalesce(thetas[rounds], F.lit(float("inf"))))
+    return best
 
 
 def without_excluded(
