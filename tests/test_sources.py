@@ -45,6 +45,12 @@ def test_catalog(spark, library):
     assert one.file_size_mb == pytest.approx(os.path.getsize(one.file_path) / 1048576)
     with pytest.raises(ValueError):
         catalog.audio_catalog(spark, library + "/none")
+    every = [r.file_path[len(library) + 1 :] for r in catalog.full_catalog(spark, library).collect()]
+    assert every == sorted([*names, "_skip.wav", "nothing.mp3"])
+    with pytest.raises(ValueError):
+        catalog.full_catalog(spark, library + "/none")
+    walked, scanned = ({r.path: (r.length, r.modificationTime.replace(microsecond=0)) for r in f(spark, library).drop("content").collect()} for f in (catalog.walk_files, catalog.scan_files))
+    assert {k: v for k, v in walked.items() if k in scanned} == scanned
     plan = catalog.audio_catalog(spark, library)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
 
@@ -75,12 +81,12 @@ def test_decoding(spark, library):
 def test_directory_runs(spark, library, tmp_path, name):
     out = str(tmp_path / "deep" / "er" / name)
     first = extract.process_directory(spark, library, out)
-    assert (first.new, first.skipped, first.errors) == (5, 0, 4)
+    assert (first.new, first.skipped, first.errors) == (5, 0, 6)
     assert set(first.features.columns) == set(S.FEATURE_SCHEMA.names)
-    assert {r.file_path.split("/")[-1] for r in first.failed.collect()} == {"bad.wav", "void.wav", "song.mp3", "x.flac"}
+    assert {r.file_path.split("/")[-1] for r in first.failed.collect()} == {"bad.wav", "void.wav", "song.mp3", "x.flac", "_skip.wav", "nothing.mp3"}
     write_wav(os.path.join(library, "four.wav"), 3000 * np.sin(np.arange(9000) / 5))
     second = extract.process_directory(spark, library, out)
-    assert (second.new, second.skipped, second.errors) == (1, 5, 4)
+    assert (second.new, second.skipped, second.errors) == (1, 5, 6)
     saved = features.load_features(spark, out)
     assert saved.count() == 6 and saved.select("file_path").distinct().count() == 6
     assert dict(saved.dtypes)["mfcc_3_std"] == "double"
@@ -99,7 +105,7 @@ def test_directory_runs(spark, library, tmp_path, name):
 def test_directory_run_without_checkpoint_folder(spark, library, monkeypatch):
     monkeypatch.setattr(session, "checkpoint_dir", lambda _: None)
     run = extract.process_directory(spark, library)
-    assert (run.new, run.errors) == (5, 4) and run.features.where("mfcc_1_mean is null").count() == 0
+    assert (run.new, run.errors) == (5, 6) and run.features.where("mfcc_1_mean is null").count() == 0
 
 
 def test_releasing(spark, tmp_path, monkeypatch):

@@ -193,8 +193,9 @@ def process_directory(
     part is kept beside the table (:mod:`~trackspark.sources.progress`) until all are done. A run that starts after one that was killed takes
     finished parts over and extracts the other files only.
     """
-    files = catalog.scan_files(spark, input_dir, suffixes)
     ranged = opens_files(spark, input_dir, reader)
+    walk = ranged and ranges.scheme(spark, input_dir) == "file"
+    files = (catalog.walk_files if walk else catalog.scan_files)(spark, input_dir, suffixes)
     listed = files.withColumn("file_path", catalog.local_path("path"))
     names = listed.select("file_path")
     existing = None
