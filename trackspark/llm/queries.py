@@ -160,5 +160,46 @@ with d as (
   from h
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from k
+""",
+    "op3_substrings": r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), starts as (
+  select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as run from starts
+), again as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by run order by doc_id, i) as nth from windows) where nth > 1
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 20)) as i from again
+), words as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d
+), kept as (
+  select words.doc_id, string_agg(word, ' ' order by words.i) as body, count(*) as n
+  from words left join gone on gone.doc_id = words.doc_id and gone.i = words.i where gone.i is null group by words.doc_id
+)
+select d.doc_id, len(d.w) as n_words, len(d.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.body, '')) as kept_sha256
+from d left join kept k on k.doc_id = d.doc_id
+""",
+    "op10_jaccard": r"""
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from d
+), shingles as (select doc_id, len(s) as n, unnest(s) as x from sets
+), links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id
+  where 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), ways as (select a, b from links union all select b, a from links
+), reached(a, b) as (
+  select doc_id, doc_id from d
+  union
+  select r.a, l.b from reached r join ways l on l.a = r.b
+)
+select s.doc_id, len(s.s) as n_shingles, min(r.b) as component_id from sets s join reached r on r.a = s.doc_id group by s.doc_id, len(s.s)
 """,
 }

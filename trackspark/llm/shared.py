@@ -48,12 +48,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    Results are lazy and read these tables later, so the tables stay until the driver ends.
+    Results are lazy and read these tables later, so the tables stay until the driver ends, or until :func:`drop_table`.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of :func:`write_table` that nothing reads any more: no result that isn't written yet may depend on them."""
+    for t in tables:
+        delete_path(t.sparkSession, t.written_at)
+
+
+def written() -> list[str]:
+    """Paths of everything written to the shared folder so far, in order."""
+    return [path for _, path in _written]
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        delete_path(spark, path)
 
 
 @atexit.register
