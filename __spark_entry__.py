@@ -31,6 +31,7 @@ from trackspark.operators import (
     signals,
 )
 from trackspark.plans import extract, listening
+from trackspark.schema import TOP_RECOMMENDATIONS
 from trackspark.session import ship_package, widen
 from trackspark.sources import catalog, incremental, pcm
 
@@ -474,7 +475,7 @@ def user_queue(spark, sf):
 
 
 def top5(spark, sf):
-    return _queue_rows(spark, sf).where("pos < 5").select("user_id", "pos", "id", _r("score"))
+    return _queue_rows(spark, sf).where(F.col("pos") < TOP_RECOMMENDATIONS).select("user_id", "pos", "id", _r("score"))
 
 
 def auto_advance(spark, sf):

@@ -66,6 +66,7 @@ def _feature_weight() -> str:
 
 
 # Names parsed as a leftmost-first match of the two fixed patterns.
+# Fixed values, as in the library's schema: the two name patterns, and the default texts further down.
 _P1 = r"(.*?)\s*-\s*(.*?)(?:\s*\(|\s*\[|\s*-\s*\d|$)"
 _P2 = r"^(\d+)[\s.-]*(.*?)\s*-\s*(.*?)(?:\s*\(|\s*\[|$)"
 

@@ -121,6 +121,26 @@ def test_feature_row(spark, tracks):
     assert all(x is not None for x in r)
 
 
-def test_no_join_moves_rows(spark, tracks):
-    plan = signals.track_features(signals.chunk_signals(rows(spark, tracks)))._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
+@pytest.mark.parametrize("mel", [None, MEL])
+def test_a_row_per_chunk_leaves_the_tasks(spark, tracks, mel):
+    chunks = signals.chunk_signals(rows(spark, tracks), pad=256, chunk=512)
+    meter = signals.Meter(GRID, mel, 512, S.FRAME_MEASURES)
+    pieces = signals.chunk_moments(chunks, meter, "track_id")
+    assert pieces.count() == chunks.count()
+    frames = pieces.groupBy("track_id").agg(F.sum("measures_n").alias("a"), F.sum("mfcc_n").alias("b")).collect()
+    assert {r.track_id: r.a for r in frames} == {k: 1 + len(v) // 64 for k, v in tracks.items()}
+    assert {r.track_id: r.b for r in frames} == {k: 1 + len(v) // 128 if mel else 0 for k, v in tracks.items()}
+
+
+@pytest.mark.parametrize("chunk", [512, 1 << 20])
+def test_moments_equal_definitions(spark, tracks, chunk):
+    chunks = signals.chunk_signals(rows(spark, tracks), pad=256, chunk=chunk)
+    got = {r.track_id: r for r in signals.track_moments(chunks, S.FRAME_MEASURES, GRID, MEL, chunk).collect()}
+    assert set(got) == set(tracks)
+    for name, y in tracks.items():
+        for m, (mean, std) in expected(y).items():
+            assert got[name][f"{m}_mean"] == pytest.approx(mean, rel=1e-9, abs=1e-9), (name, m)
+            assert got[name][f"{m}_std"] == pytest.approx(std, rel=1e-6, abs=1e-6), (name, m)
+        mean, std = expected_mfcc(y)
+        assert np.allclose([got[name][f"mfcc_{i}_mean"] for i in range(1, 7)], mean, atol=1e-7), name
+        assert np.allclose([got[name][f"mfcc_{i}_std"] for i in range(1, 7)], std, atol=1e-6), name

@@ -24,7 +24,7 @@ def canonical_columns(df: DataFrame, required: Sequence[str] = ("file_path",)) -
             continue
         alike = [c for c in df.columns if c.lower() == name.lower()]
         if not alike:
-            raise ValueError(f"Missing required column in features table: {name}")
+            raise ValueError(f"the table has no column {name}")
         # By position: a rename by name is case-insensitive and would hit every match.
         at = df.columns.index(alike[0])
         df = df.toDF(*[name if i == at else c for i, c in enumerate(df.columns)])

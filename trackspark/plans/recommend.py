@@ -34,6 +34,7 @@ class Recommender:
         self.metric = "cosine"
         self.n_neighbors = 5
         self._index: knn.NeighbourIndex | None = None
+        self._vectors: DataFrame | None = None
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, **options) -> Recommender:
@@ -52,7 +53,7 @@ class Recommender:
         self.space = prep.fit_feature_space(
             self.table, self.feature_columns, self.weights, n_components, self.fill_missing
         )
-        self.metric, self.n_neighbors, self._index = metric, n_neighbors, None
+        self.metric, self.n_neighbors, self._index, self._vectors = metric, n_neighbors, None, None
         return self
 
     def save_model(self, path: str) -> None:
@@ -61,7 +62,7 @@ class Recommender:
     def load_model(self, path: str) -> Recommender:
         self.space, settings = models.load_model(path, self.table.sparkSession)
         self.metric, self.n_neighbors = settings["metric"], settings["n_neighbors"]
-        self.feature_columns, self._index = list(self.space.columns), None
+        self.feature_columns, self._index, self._vectors = list(self.space.columns), None, None
         return self
 
     def _fitted(self) -> prep.FeatureSpace:
@@ -70,12 +71,11 @@ class Recommender:
         return self.space
 
     def vectors(self) -> DataFrame:
-        """``id`` (the path) and ``vector`` of every song."""
-        return (
-            self._fitted()
-            .transform(self.table.select("file_path", *self.feature_columns))
-            .select(F.col("file_path").alias("id"), "vector")
-        )
+        """``id`` (the path) and ``vector`` of every song, made once and kept for all searches."""
+        if self._vectors is None:
+            made = self._fitted().transform(self.table.select("file_path", *self.feature_columns))
+            self._vectors = materialise(made.select(F.col("file_path").alias("id"), "vector"))
+        return self._vectors
 
     # searching --------------------------------------------------------------
 

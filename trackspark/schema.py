@@ -41,11 +41,10 @@ NUMBERED_NAME_PATTERN = r"(\d+)[\s.-]*(.*?)\s*-\s*(.*?)(?:\s*\(|\s*\[|$)"
 UNKNOWN_TITLE = "Unknown Title"
 UNKNOWN_ARTIST = "Unknown Artist"
 UNKNOWN_ALBUM = "Unknown Album"
-# ----------------------------------------------------------------------------
-
 METADATA_COLUMNS = ("file_path", "file_name", "file_extension", "file_size_mb")
-
+UNDONE_MEASURES = ("tonic_deviation", "rhythm_regularity", "drone_likelihood")
 FRAME_MEASURES = ("spectral_centroid", "spectral_bandwidth", "zero_crossing_rate", "rms")
+# ----------------------------------------------------------------------------
 
 
 def _stats(name: str) -> list[str]:
@@ -58,9 +57,7 @@ MFCC_COLUMNS = [c for i in range(1, N_MFCC + 1) for c in _stats(f"mfcc_{i}")]
 PLACEHOLDERS = {
     **{c: 0.0 for i in range(1, N_CHROMA_BINS + 1) for c in _stats(f"chroma_{i}")},
     "tempo": DEFAULT_TEMPO,
-    "tonic_deviation": 0.0,
-    "rhythm_regularity": 0.0,
-    "drone_likelihood": 0.0,
+    **dict.fromkeys(UNDONE_MEASURES, 0.0),
 }
 
 FEATURE_COLUMNS = (

@@ -74,13 +74,13 @@ def load_features(spark: SparkSession, path: str, format: str = "auto") -> DataF
         return df
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            raise FileNotFoundError(f"Features file not found: {path}") from e
-        raise ValueError(f"Error loading features from {path}: {e}") from e
+            raise FileNotFoundError(f"no feature table at {path}") from e
+        raise ValueError(f"the feature table {path} cannot be read: {e}") from e
     except PySparkException as e:
-        raise ValueError(f"Error loading features from {path}: {e}") from e
+        raise ValueError(f"the feature table {path} cannot be read: {e}") from e
     except Exception as e:
         if "FAILED_READ_FILE" in str(e) or "Malformed" in str(e) or "MALFORMED" in str(e):
-            raise ValueError(f"Error loading features from {path}: {e}") from e
+            raise ValueError(f"the feature table {path} cannot be read: {e}") from e
         raise
 
 
@@ -92,7 +92,7 @@ def save_features(
     The result is a directory of part files (JSON: one object per line).
     """
     if df.isEmpty():
-        log.warning("No features to save")
+        log.warning("nothing to write: the table is empty")
         return False
     kind = table_format(path, format)
     writer = df.write.mode(mode)
