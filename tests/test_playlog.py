@@ -5,7 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from trackspark.operators import history, ordered, playback, playlist, queue, skew
 from trackspark.plans import listening
@@ -46,6 +46,14 @@ def test_hot_log_is_really_sliced(log):
     assert used > 12
 
 
+def test_slicing_needs_no_python_worker(spark, log):
+    cuts = ordered.find_slices(log[0], "user_id", ("ts", "event_id"), HOT).cuts
+    keys = skew.small_table(spark, [(None, 2), (3, 4)], T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
+    assert [tuple(r) for r in keys.collect()] == [(None, 2), (3, 4)]
+    for df in (cuts, keys):
+        assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+
+
 @pytest.mark.parametrize("hot", [100, 1000])
 @pytest.mark.parametrize("shape", ["bursts", "one time", "even"])
 def test_slices_are_even_however_rows_lie(spark, hot, shape):

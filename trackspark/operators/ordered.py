@@ -94,8 +94,7 @@ def find_slices(df: DataFrame, key: str, order: Sequence[str], hot_rows: int = H
     place = lambda i: F.floor(i * F.size("_all") / F.col("_slices")).cast("int")
     inner = F.when(F.col("_slices") > 1, F.sequence(F.lit(1).cast("bigint"), F.col("_slices") - 1)).otherwise(F.array().cast("array<bigint>"))
     cuts = held.select("_hot_key", F.array_distinct(F.transform(inner, lambda i: F.get("_all", place(i)))).alias("_cuts"))
-    found = cuts.collect()  # at most MAX_SLICES values
-    return Slices(key, tuple(order), df.sparkSession.createDataFrame(found, cuts.schema))
+    return Slices(key, tuple(order), materialise(cuts))  # at most MAX_SLICES values
 
 
 def window(key: str, order: Sequence[str]):

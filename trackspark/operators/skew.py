@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows of one key that a single task may order or join comfortably.
 HOT_ROWS = 1_000_000
@@ -34,9 +36,11 @@ def _largest(counts: DataFrame, hot_rows: int) -> list[Row]:
 
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
-    """A broadcast table of at most ``MAX_HOT_KEYS`` rows."""
+    """A broadcast table of at most ``MAX_HOT_KEYS`` rows. Sent as Arrow, which needs no Python worker to be read."""
     assert len(rows) <= MAX_HOT_KEYS
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    kinds = to_arrow_schema(schema)
+    table = pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+    return F.broadcast(spark.createDataFrame(table, schema))
 
 
 def hot_join(
