@@ -135,6 +135,57 @@ def test_hashed_search_splits_hot_buckets(spark, monkeypatch):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_seed_is_sent_once_per_parcel_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "BLOCK_ROWS", 100)
+    m = np.random.default_rng(8).normal(size=(400, 8))
+    lib = vectors(spark, m)
+    index = hashing.build_hash_index(lib, 3, tables=3, probes=16, rows_per_bucket=25)
+    assert index.parcel_signs == 2 and index.directions.shape[1] == 6
+    sent = hashing.asked_parcels(index, lib.select(F.col("id").alias("query_id"), F.col("vector").alias("v"))).collect()
+    assert len(sent) <= 400 * 3 * 4 and len({(r.query_id, r.hash_table, r.parcel) for r in sent}) == len(sent)
+    assert sum(len(r.codes) for r in sent) == 400 * 3 * 16  # no probe is lost
+    codes = hashing._codes(knn._points(m, "cosine", 0), index.directions)[0]
+    looked = hashing.probe_codes(*hashing._codes(knn._points(m, "cosine", 1), index.directions), 16)
+    unit_m = m / np.linalg.norm(m, axis=1)[:, None]
+    got = as_dict(hashing.approximate_knn_join(index, lib, 3))
+    for q in range(len(m)):
+        met = [i for i in range(len(m)) if i != q and any(codes[i, t] in looked[q, t] for t in range(3))]
+        best = sorted(met, key=lambda i: -float(unit_m[q] @ unit_m[i]))[:3]
+        assert [i for i, _ in got.get(q, [])] == best
+
+
+def test_a_seed_is_sent_once_per_parcel_of_cells(spark, monkeypatch):
+    m = np.random.default_rng(9).normal(size=(600, 12))
+    lib, sent, meet = vectors(spark, m), [], knn._meet
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(knn, "_meet", lambda index, probes, *more: sent.append(probes.count()) or meet(index, probes, *more))
+    index = knn.build_index(lib, 3, rows_per_cell=10)
+    parcels = knn._parcels(index.count)
+    assert len(index.count) == 60 and np.bincount(parcels, index.count).max() <= 200 and parcels[-1] <= 6
+    assert as_dict(knn.knn_join(index, lib, 3)) == brute(m, 3)
+    assert len(sent) == 3 and max(sent) <= 600 * (parcels[-1] + 1)  # vectors without structure ask for nearly every cell
+
+
+def test_memory_of_a_group_is_bounded(monkeypatch):
+    """Distances are made in tiles and seeds' best kept as they come, whatever a chunk and a block hold."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    q, s = rng.normal(size=(70, 4)), np.repeat(rng.normal(size=(30, 4)), 3, axis=0)
+    seeds = pa.table({"query_id": pa.array(range(70)), "point": knn._lists(q)})
+    block = pa.table({"id": pa.array(range(90)), "point": knn._lists(s)})
+    fields = (pa.int64(), pa.int64())
+    both = [(np.arange(70), np.arange(90))]
+    for metric in knn.METRICS:
+        whole = knn._group_top_k(seeds, block, both, 4, metric, True, fields)
+        with monkeypatch.context() as small:
+            small.setattr(knn, "_AT_ONCE", 95)
+            small.setattr(knn, "_RESCORED", 7)
+            parts = [(np.arange(70), np.arange(a, 90, 4)) for a in range(4)]
+            assert knn._group_top_k(seeds, block, parts, 4, metric, True, fields).equals(whole)
+        assert whole.num_rows == 280
+
+
 def test_probes_change_the_least_sure_signs():
     products = np.array([[[0.1, -0.5, 2.0]]])
     codes = np.array([[0b101]])

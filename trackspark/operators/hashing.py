@@ -1,8 +1,9 @@
 """Approximate top-k similarity search by hashing with several tables and several probes.
 
 A table hashes a unit vector to the signs of its products with random directions, so vectors at a small angle often fall into one bucket.
-A seed looks into its own bucket of every table and into those that differ in the signs it is least sure of. Buckets are cut into blocks of bounded
-size and meet the seeds that look into them by equi-join; everything that meets is scored exactly, so scores are those of the exact
+A seed looks into its own bucket of every table and into those that differ in the signs it is least sure of. Buckets with neighbouring codes travel
+together in parcels, to which a seed is sent once with the codes it looks into; parcels are cut into blocks of bounded
+size and meet these seeds by equi-join; everything that meets is scored exactly, so scores are those of the exact
 search and only neighbours that never met a seed are missing.
 """
 
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trackspark.operators.knn import BLOCK_ROWS, CHUNK_ROWS, _block_top_k, _lists, _matrix, _points, _top_k
+from trackspark.operators.knn import MAX_PARTITIONS, _group_top_k, _lists, _matrix, _points, _top_k
 from trackspark.session import materialise
 
 ROWS_PER_BUCKET = 512  # wanted; decides the number of signs
 MAX_SIGNS = 24
+BLOCK_ROWS = 65_536  # library rows per group, and per parcel on average
+CHUNK_ROWS = 65_536  # seeds per group
+_SLICE = 128  # seeds whose probes are in memory at once
 
 
 @dataclass(frozen=True)
@@ -32,6 +36,7 @@ class HashIndex:
     k_max: int
     directions: np.ndarray  # tables x signs x dimensions
     probes: int
+    parcel_signs: int = 0  # the uppermost signs, which buckets of a parcel share
 
 
 def _codes(points: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +70,8 @@ def build_hash_index(
                 p = _points(_matrix(b.column("v")), "cosine", 0)
                 yield pa.RecordBatch.from_arrays([b.column("id"), _lists(p), _lists(_codes(p, directions)[0].astype(np.int64))], ["id", "point", "codes"])
 
-    return HashIndex(lib.mapInArrow(run, schema), k_max, directions, max(1, probes))
+    parcel_signs = min(signs, max(0, -(-stats.n // BLOCK_ROWS) - 1).bit_length())
+    return HashIndex(lib.mapInArrow(run, schema), k_max, directions, max(1, probes), parcel_signs)
 
 
 def probe_codes(codes: np.ndarray, products: np.ndarray, probes: int) -> np.ndarray:
@@ -82,6 +88,34 @@ def probe_codes(codes: np.ndarray, products: np.ndarray, probes: int) -> np.ndar
     return codes[:, :, None] ^ np.take_along_axis(flips, best, axis=2)
 
 
+def asked_parcels(index: HashIndex, q: DataFrame) -> DataFrame:
+    """A row for each seed (``query_id, v``) and parcel it looks into: ``query_id, point, hash_table, parcel, codes``."""
+    directions, probes = index.directions, index.probes
+    shift = directions.shape[1] - index.parcel_signs
+    schema = T.StructType([
+        q.schema["query_id"], T.StructField("point", T.ArrayType(T.DoubleType())), T.StructField("hash_table", T.IntegerType()),
+        T.StructField("parcel", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = _points(_matrix(b.column("v")), "cosine", 1) if b.num_rows else np.zeros((0, 0))
+            for a in range(0, len(points), _SLICE):
+                p = points[a : a + _SLICE]
+                looked = np.sort(probe_codes(*_codes(p, directions), probes), axis=2)
+                parcel, width = (looked >> shift).reshape(-1), looked.shape[2]
+                begins = np.ones(len(parcel), bool)
+                begins[1:] = parcel[1:] != parcel[:-1]
+                begins[::width] = True
+                at = np.nonzero(begins)[0]
+                row, table = np.divmod(at // width, looked.shape[1])
+                codes = pa.ListArray.from_arrays(pa.array(np.append(at, len(parcel)).astype(np.int32)), pa.array(looked.reshape(-1)))
+                columns = [b.column("query_id").take(pa.array(row + a)), _lists(p[row]), pa.array(table.astype(np.int32)), pa.array(parcel[at]), codes]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return q.mapInArrow(run, schema)
+
+
 def approximate_knn_join(index: HashIndex, seeds: DataFrame, k: int, exclude_self: bool = True, id_col: str = "id", vector: str = "vector") -> DataFrame:
     """Up to ``k`` near library rows of every seed: ``query_id, id, score, rank``, scores as in the exact search.
 
@@ -90,34 +124,26 @@ def approximate_knn_join(index: HashIndex, seeds: DataFrame, k: int, exclude_sel
     if k > index.k_max:
         raise ValueError(f"k={k} exceeds the index's k_max={index.k_max}")
     q = seeds.select(F.col(id_col).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
-    directions, probes = index.directions, index.probes
-    schema = T.StructType([q.schema["query_id"], T.StructField("point", T.ArrayType(T.DoubleType())), T.StructField("codes", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                p = _points(_matrix(b.column("v")), "cosine", 1)
-                looked = probe_codes(*_codes(p, directions), probes)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), _lists(p), _lists(looked.reshape(len(p), -1).astype(np.int64))], ["query_id", "point", "codes"])
-
-    per_table = min(probes, len([1 for r in range(min(4, min(directions.shape[1], 12)) + 1) for _ in combinations(range(min(directions.shape[1], 12)), r)]))
-    bucket = ["hash_table", "code"]
-    asking = q.mapInArrow(run, schema).select("query_id", "point", F.posexplode("codes").alias("at", "code"))
-    asking = asking.withColumn("hash_table", F.floor(F.col("at") / per_table).cast("int")).drop("at")
-    held = index.rows.select("id", "point", F.posexplode("codes").alias("hash_table", "code"))
-    sizes = index.rows.select(F.posexplode("codes").alias("hash_table", "code")).groupBy(*bucket).agg(F.count("*").alias("n"))
-    asked = asking.groupBy(*bucket).agg(F.count("*").alias("m"))
-    # Only buckets that somebody looks into, with the blocks and chunks that bound a group on both sides.
+    where = ["hash_table", "parcel"]
+    asking, shift = asked_parcels(index, q), index.directions.shape[1] - index.parcel_signs
+    held = index.rows.select("id", "point", F.posexplode("codes").alias("hash_table", "code")).withColumn("parcel", F.shiftright("code", shift))
+    sizes = index.rows.select(F.posexplode("codes").alias("hash_table", "code")).groupBy("hash_table", F.shiftright("code", shift).alias("parcel")).agg(F.count("*").alias("n"))
+    asked = asking.groupBy(*where).agg(F.count("*").alias("m"))
+    # Only parcels that somebody looks into, with the blocks and chunks that bound a group on both sides: a row for each BLOCK_ROWS rows.
     cut = materialise(
-        sizes.join(asked, bucket).select(*bucket, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("m") / CHUNK_ROWS).cast("int").alias("chunks"))
+        sizes.join(asked, where).select(*where, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("m") / CHUNK_ROWS).cast("int").alias("chunks"))
     )
+    groups = cut.agg(F.coalesce(F.sum(F.col("blocks") * F.col("chunks")), F.lit(0))).head()[0]
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    finer = F.lit(-(-cores // max(1, groups)))  # few groups: smaller ones, so that no core idles
+    cut = F.broadcast(cut.withColumn("chunks", (F.col("chunks") * finer).cast("int")))
     left = (
-        asking.join(cut, bucket)
+        asking.join(cut, where)
         .withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
     right = (
-        held.join(cut, bucket)
+        held.join(cut, where)
         .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     )
@@ -128,11 +154,30 @@ def approximate_knn_join(index: HashIndex, seeds: DataFrame, k: int, exclude_sel
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
             return pa.table([pa.array([], fields[0]), pa.array([], fields[1]), pa.array([], pa.float64())], names=["query_id", "id", "score"])
-        return _block_top_k(a, b, k, "cosine", exclude_self, fields)
-
-    key = [*bucket, "block", "chunk"]
-    met = left.select("query_id", "point", *key).groupBy(*key).cogroup(right.select("id", "point", *key).groupBy(*key)).applyInArrow(meet, out)
-    return _top_k(met.dropDuplicates(["query_id", "id"]), k)
+        return _group_top_k(a, b, _by_bucket(a, b), k, "cosine", exclude_self, fields)
+
+    key = [*where, "block", "chunk"]
+    # Work per group is large compared with its bytes, so groups must not be merged by size.
+    parts = max(1, min(int(groups) * -(-cores // max(1, int(groups))), MAX_PARTITIONS))
+    left, right = (side.repartition(parts, *key) for side in (left.select("query_id", "point", "codes", *key), right.select("id", "point", "code", *key)))
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, out)
+    return _top_k(met.repartition("query_id").dropDuplicates(["query_id", "id"]), k)
+
+
+def _by_bucket(seeds: pa.Table, block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The seeds that look into each bucket of a block, and the bucket's rows."""
+    asked = seeds.column("codes").combine_chunks()
+    row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+    code = asked.flatten().to_numpy()
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    own = block.column("code").to_numpy()
+    held = np.argsort(own, kind="stable")
+    buckets, begins = np.unique(own[held], return_index=True)
+    for bucket, cols in zip(buckets, np.split(held, begins[1:])):
+        a, b = np.searchsorted(code, [bucket, bucket + 1])
+        if a < b:
+            yield row[a:b], cols
 
 
 def recall(index: HashIndex, seeds: DataFrame, exact: DataFrame, k: int) -> DataFrame:

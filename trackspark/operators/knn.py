@@ -5,8 +5,9 @@ one place. The library is cut into cells around pivots (a bounded number of its
 rows, more of them the larger the library) and each cell into blocks of bounded size. A seed first meets the cell or cells
 nearest to it, which gives it a k-th best distance; by the triangle inequality it then
 needs only those further cells that could hold something closer. It meets the nearest of these next, which tightens that
-distance, and then what is still open. Seeds and blocks meet
-through an equi-join on (cell, block, seed chunk), each group bounded on both sides, and
+distance, and then what is still open. Small cells travel together in parcels of a block's size, so a seed is sent once per
+parcel, with one bit for each cell it asks for there. Seeds and blocks meet
+through an equi-join on (parcel, block, seed chunk), each group bounded on both sides, and
 leave at most k rows per seed and block. Pivot cells with triangle-inequality bounds are
 the published approach of Lu et al., "Efficient Processing of k Nearest Neighbor Joins
 using MapReduce" (VLDB 2012).
@@ -16,7 +17,7 @@ Cosine is searched as Euclidean distance between unit vectors, which orders the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,9 @@ NEAR_CELLS = 4  # cells of the second round
 BLOCK_ROWS = 32_768  # library rows per group
 CHUNK_ROWS = 8_192  # seeds per group
 MAX_PARTITIONS = 20_000
-_TILE = 256  # seeds multiplied at once inside a group
+_TILE = 256  # seeds of the smallest chunks
+_AT_ONCE = 1 << 21  # distances in memory at once inside a group
+_RESCORED = 1 << 16  # pairs re-scored at once
 _SLICE = 512  # rows whose distances to all pivots are in memory at once
 _SLACK = 1e-9  # covers rounding in bounds and block products; candidates are re-scored
 
@@ -248,45 +251,61 @@ def _asked_cells(points: np.ndarray, index_arrays, need: int, done: list[np.ndar
     return second if not last else (low <= done[1][:, None] + _SLACK) & ~second
 
 
-def _block_top_k(seeds: pa.Table, block: pa.Table, k: int, metric: str, drop_self: bool, fields) -> pa.Table:
-    """Best ``k`` of one block for every seed of one chunk."""
+def _scores(q: np.ndarray, s: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Scores pair by pair: equal pairs get equal scores whatever the group's shape was."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), _RESCORED):
+        t, r = q[i[a : a + _RESCORED]], s[j[a : a + _RESCORED]]
+        if metric == "cosine":
+            out[a : a + _RESCORED] = np.einsum("ij,ij->i", t, r)
+        else:
+            out[a : a + _RESCORED] = 1.0 - np.sqrt(np.einsum("ij,ij->i", t - r, t - r))
+    return out
+
+
+def _group_top_k(seeds: pa.Table, block: pa.Table, meetings, k: int, metric: str, drop_self: bool, fields) -> pa.Table:
+    """Best ``k`` of one block for every seed of one chunk.
+
+    ``meetings`` yields which seeds meet which rows of the block, as two arrays of positions; a pair comes once. Only what may still be among a
+    seed's best of the group is re-scored.
+    """
     q, s = _matrix(seeds.column("point")), _matrix(block.column("point"))
     qid = np.array(seeds.column("query_id").to_pylist())
     sid = np.array(block.column("id").to_pylist())
-    s_sq = np.einsum("ij,ij->i", s, s)
-    out_q, out_s, out_score = [], [], []
-    for a in range(0, len(q), _TILE):
-        t, tid = q[a : a + _TILE], qid[a : a + _TILE]
-        near = t @ s.T
-        slack = _SLACK
-        if metric == "euclidean":
-            t_sq = np.einsum("ij,ij->i", t, t)
-            near = 2 * near - t_sq[:, None] - s_sq[None, :]
-            slack = _SLACK * (1.0 + t_sq.max() + s_sq.max())
-        if drop_self:
-            near[tid[:, None] == sid[None, :]] = -np.inf
-        m = min(k, len(s))
-        kth = np.partition(near, len(s) - m, axis=1)[:, len(s) - m]
-        i, j = np.nonzero((near >= kth[:, None] - slack) & np.isfinite(near))
-        # Re-score pairwise: equal pairs get equal scores whatever the block shape was.
-        if metric == "cosine":
-            score = np.einsum("ij,ij->i", t[i], s[j])
-        else:
-            diff = t[i] - s[j]
-            score = 1.0 - np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    q_sq, s_sq = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", s, s)
+    slack = _SLACK if metric == "cosine" else _SLACK * (1.0 + q_sq.max() + s_sq.max())
+    nearest = np.full((len(q), k), -np.inf)  # the smallest comes first
+    found, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def best(parts: list[tuple]) -> tuple:
+        i, j, score = (np.concatenate(c) for c in zip(*parts))
         o = np.lexsort((sid[j], -score, i))
         i, j, score = i[o], j[o], score[o]
-        start = np.searchsorted(i, np.arange(len(t)))
-        keep = np.arange(len(i)) - start[i] < k
-        out_q.append(tid[i[keep]])
-        out_s.append(sid[j[keep]])
-        out_score.append(score[keep])
+        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(q)))[i] < k
+        return i[keep], j[keep], score[keep]
+
+    for rows, cols in meetings:
+        library, m = s[cols].T, min(k, len(cols))
+        step = max(1, _AT_ONCE // len(cols))
+        for a in range(0, len(rows), step):
+            r = rows[a : a + step]
+            near = q[r] @ library
+            if metric == "euclidean":
+                near = 2 * near - q_sq[r][:, None] - s_sq[cols][None, :]
+            if drop_self:
+                near[qid[r][:, None] == sid[cols][None, :]] = -np.inf
+            top = np.partition(near, len(cols) - m, axis=1)[:, len(cols) - m :]
+            nearest[r] = np.partition(np.concatenate([nearest[r], top], axis=1), m, axis=1)[:, m:]
+            i, j = np.nonzero((near >= nearest[r, :1] - slack) & np.isfinite(near))
+            i, j = r[i], cols[j]
+            found.append((i, j, _scores(q, s, i, j, metric)))
+            size += len(i)
+            if size > _AT_ONCE:
+                found = [best(found)]
+                size = len(found[0][0])
+    i, j, score = best(found)
     return pa.table(
-        [
-            pa.array(np.concatenate(out_q).tolist(), fields[0]),
-            pa.array(np.concatenate(out_s).tolist(), fields[1]),
-            pa.array(np.concatenate(out_score)),
-        ],
+        [pa.array(qid[i].tolist(), fields[0]), pa.array(sid[j].tolist(), fields[1]), pa.array(score)],
         names=["query_id", "id", "score"],
     )
 
@@ -296,12 +315,38 @@ def _top_k(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _parcels(count: np.ndarray) -> np.ndarray:
+    """The parcel of each cell: consecutive cells with at most ``BLOCK_ROWS`` rows together; a larger cell is alone."""
+    parcel, held = np.zeros(len(count), int), 0
+    for c, n in enumerate(count):
+        start = c > 0 and held + n > BLOCK_ROWS
+        parcel[c] = (parcel[c - 1] if c else 0) + start
+        held = n if start else held + n
+    return parcel
+
+
+def _by_cell(seeds: pa.Table, block: pa.Table, edges: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The seeds that ask for each cell of a parcel, and the cell's rows."""
+    first, end = edges[seeds.column("parcel")[0].as_py() :][:2]
+    asked = np.frombuffer(b"".join(seeds.column("cells").to_pylist()), np.uint8).reshape(seeds.num_rows, -1)
+    cell = block.column("cell").to_numpy() - first
+    order = np.argsort(cell, kind="stable")
+    ends = np.searchsorted(cell[order], np.arange(end - first + 1))
+    for c in range(end - first):
+        rows, cols = np.nonzero(asked[:, c >> 3] >> (7 - (c & 7)) & 1)[0], order[ends[c] : ends[c + 1]]
+        if len(rows) and len(cols):
+            yield rows, cols
+
+
 def _meet(index: NeighbourIndex, probes: DataFrame, k: int, drop_self: bool) -> DataFrame:
-    """Join seeds with the blocks of the cells they ask for; at most k rows per pair."""
-    asked = np.zeros(len(index.count), int)
-    for r in probes.groupBy("cell").count().collect():  # at most MAX_CELLS rows
-        asked[r.cell] = r["count"]
-    blocks = [max(1, -(-int(n) // BLOCK_ROWS)) for n in index.count]
+    """Join seeds with the blocks of the parcels they ask for; at most k rows per pair."""
+    parcel = _parcels(index.count)
+    edges = np.searchsorted(parcel, np.arange(parcel[-1] + 2))
+    held = np.add.reduceat(index.count, edges[:-1])
+    asked = np.zeros(len(held), int)
+    for r in probes.groupBy("parcel").count().collect():  # at most MAX_CELLS rows
+        asked[r.parcel] = r["count"]
+    blocks = [max(1, -(-int(n) // BLOCK_ROWS)) for n in held]
     chunks = [max(1, -(-int(n) // CHUNK_ROWS)) for n in asked]
     needed = [int(c) for c in np.nonzero(asked)[0]]
     cores = probes.sparkSession.sparkContext.defaultParallelism
@@ -314,18 +359,19 @@ def _meet(index: NeighbourIndex, probes: DataFrame, k: int, drop_self: bool) ->
     # groups must not be merged by size.
     parts = max(1, min(groups, MAX_PARTITIONS))
 
-    def of_cell(values: list[int]) -> Column:
-        return F.get(F.lit(values), F.col("cell"))
+    def of(values: Sequence[int], place: str = "parcel") -> Column:
+        return F.get(F.expr(f"array({', '.join(str(int(v)) for v in values)})"), F.col(place))  # one parse, not a call for each
 
     def upto(values: list[int]) -> Column:
-        return F.explode(F.sequence(F.lit(0), of_cell(values) - 1))
+        return F.explode(F.sequence(F.lit(0), of(values) - 1))
 
-    seeds = probes.withColumn(
-        "chunk", F.pmod(F.xxhash64("query_id"), of_cell(chunks)).cast("int")
+    seeds = probes.drop("pairs").withColumn(
+        "chunk", F.pmod(F.xxhash64("query_id"), of(chunks)).cast("int")
     ).withColumn("block", upto(blocks))
-    library = index.rows.where(F.col("cell").isin(needed)) if len(index.count) > 1 else index.rows
+    library = index.rows.withColumn("parcel", of(parcel, "cell"))
+    library = library.where(F.col("parcel").isin(needed)) if len(held) > 1 else library
     library = library.withColumn(
-        "block", F.pmod(F.xxhash64("id"), of_cell(blocks)).cast("int")
+        "block", F.pmod(F.xxhash64("id"), of(blocks)).cast("int")
     ).withColumn("chunk", upto(chunks))
     qt, st = probes.schema["query_id"].dataType, index.rows.schema["id"].dataType
     fields = (to_arrow_type(qt), to_arrow_type(st))
@@ -340,9 +386,9 @@ def _meet(index: NeighbourIndex, probes: DataFrame, k: int, drop_self: bool) ->
                 [pa.array([], fields[0]), pa.array([], fields[1]), pa.array([], pa.float64())],
                 names=["query_id", "id", "score"],
             )
-        return _block_top_k(left, right, k, metric, drop_self, fields)
+        return _group_top_k(left, right, _by_cell(left, right, edges), k, metric, drop_self, fields)
 
-    key = ["cell", "block", "chunk"]
+    key = ["parcel", "block", "chunk"]
     seeds, library = seeds.repartition(parts, *key), library.repartition(parts, *key)
     return seeds.groupBy(*key).cogroup(library.groupBy(*key)).applyInArrow(meet, out)
 
@@ -372,10 +418,14 @@ def knn_join(
         [
             q.schema["query_id"],
             T.StructField("point", T.ArrayType(T.DoubleType())),
-            T.StructField("cell", T.IntegerType()),
+            T.StructField("parcel", T.IntegerType()),
+            T.StructField("cells", T.BinaryType()),
+            T.StructField("pairs", T.LongType()),
         ]
     )
     need = k + 1
+    parcel = _parcels(count)
+    edges = np.searchsorted(parcel, np.arange(parcel[-1] + 2))
     thetas = [f"theta{i}" for i in range(2)]
 
     def probes(rounds: int):
@@ -384,21 +434,24 @@ def knn_join(
                 if b.num_rows == 0:
                     continue
                 p = _points(_matrix(b.column("v")), metric, 1)
-                if len(count) == 1:
-                    i, cell = np.arange(len(p)), np.zeros(len(p), np.int32)
-                else:
-                    known = [b.column(t).to_numpy(zero_copy_only=False) for t in thetas[:rounds]]
-                    found = []
-                    for a in range(0, len(p), _SLICE):
-                        part = slice(a, a + _SLICE)
-                        i, cell = np.nonzero(_asked_cells(p[part], arrays, need, [t[part] for t in known], rounds == 2))
-                        found.append((i + a, cell))
-                    i, cell = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                if len(i):
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("query_id").take(pa.array(i)), _lists(p[i]), pa.array(cell.astype(np.int32))],
-                        ["query_id", "point", "cell"],
-                    )
+                known = [b.column(t).to_numpy(zero_copy_only=False) for t in thetas[:rounds]]
+                for a in range(0, len(p), _SLICE):
+                    part = slice(a, a + _SLICE)
+                    if len(count) == 1:
+                        mask = np.ones((len(p[part]), 1), bool)
+                    else:
+                        mask = _asked_cells(p[part], arrays, need, [t[part] for t in known], rounds == 2)
+                    for x, (first, end) in enumerate(zip(edges, edges[1:])):
+                        i = np.nonzero(mask[:, first:end].any(axis=1))[0]
+                        if len(i):
+                            cells = mask[i, first:end]
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    b.column("query_id").take(pa.array(i + a)), _lists(p[i + a]), pa.array(np.full(len(i), x, np.int32)),
+                                    pa.array([c.tobytes() for c in np.packbits(cells, axis=1)], pa.binary()), pa.array(cells @ count[first:end]),
+                                ],
+                                probe_schema.names,
+                            )
 
         return emit
 
@@ -412,8 +465,7 @@ def knn_join(
         asked = asking.mapInArrow(probes(rounds), probe_schema)
         asked = asked if rounds == 0 else materialise(asked)
         if report is not None:
-            held = asked.groupBy("cell").agg(F.count("*").alias("n")).collect()
-            report.append(sum(int(r["n"]) * int(count[r["cell"]]) for r in held))
+            report.append(asked.agg(F.coalesce(F.sum("pairs"), F.lit(0))).head()[0])
         met = _meet(index, asked, k, exclude_self)
         best = _top_k(met if best is None else best.unionByName(met), k)
         if len(count) == 1 or rounds == 2:
