@@ -87,6 +87,25 @@ def test_trie(order):
     assert np.add.reduceat(trie.log10(code), starts) == pytest.approx([brute.ppm_log10(learnt, t, order) for t in told])
 
 
+@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
+def test_ppm_keeps_every_ngram(spark, block_bytes):
+    """The sharded model scores as one trie of all n-grams does, however many these are; there is no bound on nodes."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(0, 20)))) for i in range(60)]
+    rows += [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: ppm.coded((t or "").encode().split()) for i, t in rows}
+    learnt = [t for i, t in texts.items() if ppm.crc_remainder(i, 5) != 1]
+    for order, least in ((6, 1), (6, 2), (4, 3), (1, 1)):
+        keys, counts = ppm.all_orders(ppm.grams(learnt, order)[0], order)
+        keep = counts >= least
+        trie = ppm.Trie(keys[keep], counts[keep].astype(float), order)
+        got = {r.doc_id: r.score for r in ppm.score_documents(docs, order=order, min_count=least, block_bytes=block_bytes).collect()}
+        for i, t in texts.items():
+            assert got[i] == pytest.approx(trie.log10(ppm.grams([t], order)[0]).sum(), rel=1e-7)
+    assert "max_nodes" not in ppm.score_documents.__code__.co_varnames
+
+
 def test_tiles():
     rnd = random.Random(2)
     for _ in range(40):

@@ -2,8 +2,9 @@
 
 The model is a trie of byte contexts up to ``order`` bytes long. A byte that its longest known context has
 seen is coded there; otherwise the code escapes to the next shorter context, in which the bytes seen in the longer one
-are excluded. Counts come from all training documents; the trie keeps its ``max_nodes`` most frequent
-nodes, a bound like any model's size, and none seen less than ``min_count`` times.
+are excluded. Counts come from all training documents, and every n-gram seen at least ``min_count`` times is a node. The trie is cut into shards
+by the last three bytes of the context, where a context meets all shorter ones down to three bytes; those of fewer bytes are in every
+shard. Blocks send their distinct n-grams and get their code lengths back.
 
 The text that is coded is the sequence of lower-cased words joined by one space, and an end.
 """
@@ -22,14 +23,14 @@ from trackspark.llm import blocks as B
 from trackspark.llm.shared import crc_remainder, write_table
 
 ORDER = 6
-MAX_NODES = 2_000_000
 ALPHABET = 256
 END = b"\n"  # never part of a word
 AT_ONCE = 2 << 20
 TAIL = np.uint64((1 << 24) - 1)
-GRAMS = "shard long, n long, keys binary, counts binary"
-COUNTED = "bin long, size long, keys binary, counts binary"
-SHORT = -1
+GRAMS = "block long, shard long, n long, keys binary, counts binary"
+ANSWER = "block long, shard long, answer binary"
+EVERYWHERE = 2  # orders up to this one are in every shard's trie
+COARSE = np.uint64((1 << 64) - (1 << 24))  # code lengths travel with 28 bits behind the point
 
 
 def coded(words: list[bytes]) -> bytes:
@@ -82,24 +83,28 @@ class Trie:
     """Code lengths of n-grams. Nodes of order j are contexts of j bytes; a node's bytes are the n-grams above it.
 
     A byte counted n times in a context has (n - 1/2) of the context's total. The rest is the escape: half a
-    count for each kept byte (method D), and all counts of bytes whose nodes weren't kept.
+    count for each kept byte (method D), and all counts of bytes whose nodes weren't kept, being counted less than ``least`` times.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, least: int = 1):
         self.order = order
         which = (keys & np.uint64(7)).astype(int)
         self.grams, self.n, self.nodes, self.total, self.escape = [], [], [], [], []
         for j in range(order + 1):
             g, n = keys[which == j] >> np.uint64(3), counts[which == j].astype(float)
             by = np.argsort(g)
-            g, n = g[by], n[by]
+            every, often = g[by], n[by]
+            g, n = every[often >= least], often[often >= least]
             node, own = np.unique(g >> np.uint64(8), return_inverse=True)
             kept, kinds = np.bincount(own, n, len(node)), np.bincount(own, minlength=len(node))
-            # A context occurs as often as its last byte follows the bytes before it; contexts before a text, once a text.
+            # A context occurs as often as its last byte follows the bytes before it, or as bytes follow it, where the former isn't
+            # in this shard; contexts before a text, once a text.
             total = kept
             if j > 1:
                 at, found = self._find(self.grams[j - 1], node)
-                total = np.where(found, np.maximum(self.n[j - 1][at], kept), kept)
+                of, here = self._find(node, every >> np.uint64(8))
+                followed = np.bincount(of[here], often[here], len(node))
+                total = np.where(found, np.maximum(self.n[j - 1][at], kept), followed) if len(self.grams[j - 1]) else followed
             if j and len(node):
                 starts = self._find(self.grams[0], np.array([END[0]], dtype=np.uint64))
                 before = np.uint64(int.from_bytes(END * j, "big"))
@@ -167,73 +172,84 @@ def packed(keys: np.ndarray, counts: np.ndarray) -> tuple[str, int, bytes, bytes
 _tries: dict[str, Trie] = {}
 
 
+def opened(data: tuple[str, int, bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams and counts of :func:`packed`."""
+    _, n, steps, counts = data
+    open_ = zstandard.ZstdDecompressor().decompress
+    keys = np.cumsum(np.frombuffer(open_(steps, max_output_size=8 * n), dtype=np.uint64), dtype=np.uint64)
+    return keys, np.frombuffer(open_(counts, max_output_size=8 * n), dtype="<u8")
+
+
 def unpacked(data: tuple[str, int, bytes, bytes], order: int) -> Trie:
     """The trie, built once in each worker."""
-    name, n, steps, counts = data
-    if name not in _tries:
+    if data[0] not in _tries:
         _tries.clear()
-        open_ = zstandard.ZstdDecompressor().decompress
-        keys = np.cumsum(np.frombuffer(open_(steps, max_output_size=8 * n), dtype=np.uint64), dtype=np.uint64)
-        _tries[name] = Trie(keys, np.frombuffer(open_(counts, max_output_size=8 * n), dtype="<u8"), order)
-    return _tries[name]
+        _tries[data[0]] = Trie(*opened(data), order)
+    return _tries[data[0]]
+
 
+def _codes(texts: list[bytes], order: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *[grams(part, order)[0] for part in _parts(texts)]])
 
-def _bin(n: np.ndarray) -> np.ndarray:
-    return np.floor(8 * np.log2(n)).astype(np.int64)
 
+def _by_shard(code: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ascending n-grams by the shard of their contexts, and where shards end."""
+    shard = ((B.mixed(code >> np.uint64(8) & TAIL) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    by = np.argsort(shard, kind="stable")  # n-grams ascend within a shard
+    return by, np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
 
-def fit(table: DataFrame, training, order: int, max_nodes: int, min_count: int) -> tuple[str, int, bytes, bytes]:
-    """The packed trie over all training documents of a table of blocks.
 
-    Blocks send their longest n-grams, sharded by the last three bytes, so a shard has all that count for its shorter ones down
-    to three bytes. Those of one and two bytes, at most 65,792, are summed over shards. Only the kept nodes reach the driver.
+def code_lengths(table: DataFrame, training, order: int, min_count: int) -> DataFrame:
+    """``block, shard, answer``: for a table of blocks, the code lengths of each block's distinct n-grams.
+
+    Every n-gram of the training documents is counted in its shard. Those of up to three bytes are summed over blocks and reach all shards:
+    2^24 + 65,792 at most, and far fewer in texts.
     """
     shards = B.shards_for(table)
+    plain = table.select("block", "ids", "texts")
+
+    def learnt(row: dict) -> tuple[list[bytes], list[bytes]]:
+        texts = [coded(t.lower().split()) for t in B.unpack_texts(row["texts"], len(row["ids"]))]
+        return texts, [t for i, t in zip(row["ids"], texts, strict=True) if training(i)]
+
+    def shortest(row: dict) -> Iterator[dict]:
+        u, n = all_orders(_codes(learnt(row)[1], min(order, EVERYWHERE)), min(order, EVERYWHERE))
+        yield {"gram": u.astype(np.int64), "n": n}
 
     def send(row: dict) -> Iterator[dict]:
-        texts = [coded(t.lower().split()) for i, t in zip(row["ids"], B.unpack_texts(row["texts"], len(row["ids"])), strict=True) if training(i)]
-        code = np.concatenate([np.empty(0, np.uint64), *[grams(part, order)[0] for part in _parts(texts)]])
-        u, n = np.unique(code, return_counts=True)
-        shard = ((B.mixed(u & TAIL) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        by = np.argsort(shard, kind="stable")  # n-grams ascend within a shard
-        ends = np.searchsorted(shard[by], np.arange(shards + 1, dtype=np.uint64))
-        u, n = u[by], n[by].astype("<u4")
-        cols: dict[str, list] = {c: [] for c in ("shard", "n", "keys", "counts")}
+        texts, own = learnt(row)
+        u, n = np.unique(_codes(own, order), return_counts=True)
+        code = np.unique(_codes(texts, order))
+        counts = np.zeros(len(code), dtype="<u4")
+        counts[np.searchsorted(code, u)] = n
+        by, ends = _by_shard(code, shards)
+        code, counts = code[by], counts[by]
+        cols: dict[str, list] = {c: [] for c in ("block", "shard", "n", "keys", "counts")}
         for s, (a, b) in enumerate(zip(ends, ends[1:])):
             if a < b:
-                steps = np.diff(u[a:b], prepend=np.uint64(0))
-                for c, v in zip(cols, (s, int(b - a), squeezed(steps), squeezed(n[a:b])), strict=True):
+                steps = np.diff(code[a:b], prepend=np.uint64(0))
+                for c, v in zip(cols, (row["block"], s, int(b - a), squeezed(steps), squeezed(counts[a:b])), strict=True):
                     cols[c].append(v)
         yield cols
 
-    def add(key, t):
-        sizes = t["n"].to_pylist()
-        code = np.concatenate([np.cumsum(stretched(k, n, np.uint64), dtype=np.uint64) for k, n in zip(t["keys"].to_pylist(), sizes, strict=True)])
-        counts = np.concatenate([stretched(c, n, np.uint32) for c, n in zip(t["counts"].to_pylist(), sizes, strict=True)])
-        u, n = all_orders(code, order, counts)
-        bins = np.where((u & np.uint64(7)) < 2, SHORT, _bin(n))
-        keep = (bins == SHORT) | (n >= min_count)
-        u, n, bins = u[keep], n[keep], bins[keep]
-        rows = [(int(b), int((bins == b).sum()), u[bins == b].tobytes(), n[bins == b].tobytes()) for b in np.unique(bins)]
-        return pa.table({c: pa.array(v, k) for c, v, k in zip(("bin", "size", "keys", "counts"), zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
-
-    def unpack(row: dict) -> Iterator[dict]:
-        yield {"gram": np.frombuffer(row["keys"], dtype=np.int64), "n": np.frombuffer(row["counts"], dtype=np.int64)}
-
-    sent = B.each_block(table.select("block", "ids", "texts"), GRAMS, send)
-    counted = write_table(sent.groupBy("shard").applyInArrow(add, COUNTED), "grams")
-    short = B.each_block(counted.where(F.col("bin") == SHORT).select("keys", "counts"), "gram long, n long", unpack)
-    short = short.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).collect()
-    long = counted.where(F.col("bin") != SHORT)
-    least, room = 0, max_nodes - len(short)
-    for r in sorted(long.groupBy("bin").agg(F.sum("size").alias("n")).collect(), key=lambda r: -r.bin):
-        room -= r.n
-        if room < 0:
-            least = r.bin + 1
-            break
-    kept = [(np.array([r.gram for r in short], dtype=np.uint64), np.array([r.n for r in short], dtype=float))]
-    kept += [(np.frombuffer(r["keys"], dtype=np.uint64), np.frombuffer(r["counts"], dtype=np.int64).astype(float)) for r in long.where(F.col("bin") >= least).select("keys", "counts").toLocalIterator()]
-    return packed(np.concatenate([k for k, _ in kept]), np.concatenate([n for _, n in kept]))
+    short = B.each_block(plain, "gram long, n long", shortest).groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).toArrow()
+    everywhere = table.sparkSession.sparkContext.broadcast(packed(short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy()))
+
+    def answer(key, t):
+        sizes = t["n"].to_numpy()
+        code = np.concatenate([np.cumsum(stretched(k, n, np.uint64), dtype=np.uint64) for k, n in zip(t["keys"].to_pylist(), sizes.tolist(), strict=True)])
+        counts = np.concatenate([stretched(c, n, np.uint32) for c, n in zip(t["counts"].to_pylist(), sizes.tolist(), strict=True)])
+        u, at = np.unique(code, return_inverse=True)
+        n = np.bincount(at, counts, len(u)).astype(np.int64)
+        keys, often = all_orders(u[n > 0], order, n[n > 0])
+        long = (keys & np.uint64(7)) > EVERYWHERE
+        first, many = opened(everywhere.value)
+        trie = Trie(np.concatenate([first, keys[long]]), np.concatenate([many.astype(np.int64), often[long]]), order, min_count)
+        told = (trie.log10(u).view(np.uint64) & COARSE).view(np.float64)[at]
+        parts = [squeezed(np.ascontiguousarray(p)) for p in np.split(told, np.cumsum(sizes)[:-1])]
+        return pa.table({"block": t["block"].combine_chunks(), "shard": t["shard"].combine_chunks(), "answer": pa.array(parts, pa.binary())})
+
+    return B.each_block(plain, GRAMS, send).groupBy("shard").applyInArrow(answer, ANSWER)
 
 
 def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -250,7 +266,7 @@ def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 def score_documents(
     docs: DataFrame, folds: int = 5, held_out: int = 1, id_col="doc_id", text_col="text",
-    order: int = ORDER, max_nodes: int = MAX_NODES, min_count: int = 2, block_bytes: int = B.BLOCK_BYTES // 2,
+    order: int = ORDER, min_count: int = 2, block_bytes: int = B.BLOCK_BYTES // 2,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
@@ -265,7 +281,8 @@ def score_documents(
     def training(doc_id: int | None) -> bool:
         return crc_remainder(doc_id, folds) not in (-1, held_out)
 
-    trie = docs.sparkSession.sparkContext.broadcast(fit(table, training, order, max_nodes, min_count))
+    lengths_of = code_lengths(table, training, order, min_count)
+    lengths_of = lengths_of.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("codes"))
 
     def tokens(row: dict) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, B.Shards]:
         """Words of each document, each token's number among the block's distinct ones, and these."""
@@ -295,21 +312,25 @@ def score_documents(
     total = B.each_block(plain, "n long", learnt_tokens).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def finish(row: dict) -> Iterator[dict]:
-        model = unpacked(trie.value, order)
         words, of, lengths, own = tokens(row)
         n = own.answered(row["answers"], np.uint64).astype(float)
         begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         each = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-        scores = []
-        for part in _parts([coded(ws) for ws in words]):
+        texts = [coded(ws) for ws in words]
+        known = np.unique(_codes(texts, order))
+        by, ends = _by_shard(known, shards)
+        told, scores = np.empty(len(known)), []
+        for r in row["codes"]:
+            a, b = ends[r["shard"]], ends[r["shard"] + 1]
+            told[by[a:b]] = stretched(r["answer"], int(b - a), np.float64)
+        for part in _parts(texts):
             code, starts = grams(part, order)
-            u, at = np.unique(code, return_inverse=True)
-            scores.append(np.add.reduceat(model.log10(u)[at], starts))
+            scores.append(np.add.reduceat(told[np.searchsorted(known, code)], starts))
         yield {
             "doc_id": row["ids"], "held_out": [crc_remainder(i, folds) == held_out for i in row["ids"]], "n_tokens": lengths,
             "n_known": np.add.reduceat((n > 0)[of].astype(np.int64), begins), "train_tokens": [total] * len(words),
             "base_score": np.add.reduceat(each[of], begins), "score": np.concatenate(scores),
         }
 
-    told = plain.join(B.by_block(answers), "block", "left")
+    told = plain.join(B.by_block(answers), "block", "left").join(lengths_of, "block", "left")
     return B.each_block(told, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", finish)
