@@ -30,7 +30,7 @@ TAIL = np.uint64((1 << 24) - 1)
 GRAMS = "block long, shard long, n long, keys binary, counts binary"
 ANSWER = "block long, shard long, answer binary"
 EVERYWHERE = 2  # orders up to this one are in every shard's trie
-COARSE = np.uint64((1 << 64) - (1 << 24))  # code lengths travel with 28 bits behind the point
+FINE = 16  # code lengths travel without so many of their last bits, rounded
 
 
 def coded(words: list[bytes]) -> bytes:
@@ -245,7 +245,7 @@ def code_lengths(table: DataFrame, training, order: int, min_count: int) -> Data
         long = (keys & np.uint64(7)) > EVERYWHERE
         first, many = opened(everywhere.value)
         trie = Trie(np.concatenate([first, keys[long]]), np.concatenate([many.astype(np.int64), often[long]]), order, min_count)
-        told = (trie.log10(u).view(np.uint64) & COARSE).view(np.float64)[at]
+        told = ((trie.log10(u).view(np.uint64) + np.uint64(1 << FINE - 1)) >> np.uint64(FINE) << np.uint64(FINE)).view(np.float64)[at]
         parts = [squeezed(np.ascontiguousarray(p)) for p in np.split(told, np.cumsum(sizes)[:-1])]
         return pa.table({"block": t["block"].combine_chunks(), "shard": t["shard"].combine_chunks(), "answer": pa.array(parts, pa.binary())})
 
