@@ -292,3 +292,34 @@ def test_resolve_in_table_order(spark):
         got = {r.query_id: r.file_path for r in resolve.resolve_songs(asked, catalog, order="ord", automaton_bytes=automaton).collect()}
         assert got == {1: "/b/x.mp3", 2: "/d/é日.mp3", 3: None}
     assert resolve.resolve_one(catalog, "x.mp3", "ord").head().file_path == "/b/x.mp3"
+
+
+def test_resolve_ways_agree(spark):
+    """Names of all lengths, with letters of several bytes: the grams find what the automaton finds."""
+    draw = np.random.default_rng(5)
+    text = lambda most: "".join(draw.choice(list("aabc é日/.-"), draw.integers(0, most)))
+    catalog = spark.createDataFrame([(text(40),) for _ in range(400)] + [(None,), ("",)], "file_path string")
+    asked = spark.createDataFrame([(i, text(14)) for i in range(400)] + [(400, None)], "query_id int, song_path string")
+    one, two = (
+        sorted(map(tuple, resolve.resolve_songs(asked, catalog, automaton_bytes=b).collect()), key=str) for b in (resolve.AUTOMATON_BYTES, -1)
+    )
+    assert one == two and len({r[-1] for r in one}) >= 3
+    assert resolve.resolve_songs(asked, catalog.limit(0), automaton_bytes=-1).where("file_path is not null").isEmpty()
+
+
+def test_resolve_sends_few_grams(spark, monkeypatch):
+    """A path sends the grams that names are looked up by, not all it has."""
+    sent, plain = [], resolve.hot_join
+
+    def join(left, right, key, *rest):
+        if "gram" in left.columns:
+            sent.append(left.count())
+        return plain(left, right, key, *rest)
+
+    monkeypatch.setattr(resolve, "hot_join", join)
+    name = "%s/a common name - a common type %05d.mp3"
+    catalog = spark.range(2000).select(F.format_string(name, F.lit("/lib"), "id").alias("file_path"))
+    asked = spark.range(2000).select(F.col("id").alias("query_id"), F.format_string(name, F.lit("/old"), F.col("id") * 2).alias("song_path"))
+    got = resolve.resolve_songs(asked, catalog, automaton_bytes=-1)
+    assert {r.tier: r["count"] for r in got.groupBy("tier").count().collect()} == {2: 1000, 3: 1000}
+    assert sent and sent[0] <= 5 * 2000
