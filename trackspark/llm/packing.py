@@ -54,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.byte_letters = byte_letters()
+        self.shown_space = chr(self.byte_letters[ord(" ")])
         self.known: dict[str, bytes] = {}  # of a piece, with the space before it
         self.marks: dict[str, bytes] = {}
         self.feed = next(self._encode(["\n"]))
@@ -63,8 +64,11 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts[i : i + ENCODED_AT_ONCE], add_special_tokens=False):
                 yield array("I", e.ids).tobytes()
 
-    def _letters(self, unit: str) -> bytes:
-        letters = unit.encode().decode("latin-1").translate(self.byte_letters)
+    def _letters(self, core: str, space: str) -> bytes:
+        """Ids of letters. Those of ASCII stand for themselves in the byte-level alphabet."""
+        letters = core if core.isascii() else core.encode().decode("latin-1").translate(self.byte_letters)
+        if space:
+            letters = self.shown_space + letters
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _simple(self, part: str, space: str) -> bytes | None:
@@ -72,7 +76,11 @@ class Encoder:
         core = part.rstrip(MARKS)
         if not core.isalpha():
             return None
-        ids = (self.known.get(core) if space else None) or self._letters(space + core)
+        ids = self.known.get(core) if space else None
+        if ids is None:
+            ids = self._letters(core, space)
+            if space:
+                self.known[core] = ids  # the same letters come with other marks too
         if len(core) == len(part):
             return ids
         marks = part[len(core) :]
