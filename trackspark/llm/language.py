@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trackspark.llm.shared import write_table
+from trackspark.llm.shared import giving_back, stretches, write_table
 
 UNDETERMINED = "und"
 MAX_LANGUAGES = 2000
@@ -52,24 +52,28 @@ def _count(lang_col: str, text_col: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
 
+        def merge():
+            for parts in held.values():
+                u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                parts[:] = [(u, np.bincount(at, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64))]
+
         def flush():
-            for lang, parts in held.items():
-                codes = np.concatenate([p[0] for p in parts])
-                ns = np.concatenate([p[1] for p in parts])
-                u, at = np.unique(codes, return_inverse=True)
-                total = np.bincount(at, ns, len(u)).astype(np.int64)
+            merge()
+            for lang, [(u, total)] in held.items():
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(u), pa.string()), "code": u, "n": total})
             held.clear()
 
-        size = 0
-        for b in batches:
+        fresh = 0
+        for b in (some for whole in batches for some in stretches(whole, whole.schema.get_field_index(text_col))):
             for lang, text in zip(b[lang_col].to_pylist(), b[text_col].to_pylist(), strict=True):
                 part = np.unique(grams(text or ""), return_counts=True)
                 held.setdefault(lang, []).append(part)
-                size += len(part[0])
-                if size > 4_000_000:
-                    yield from flush()
-                    size = 0
+                fresh += len(part[0])
+                if fresh > 1_000_000:
+                    merge()
+                    fresh = 0
+                    if sum(len(p[0]) for parts in held.values() for p in parts) > 1_000_000:
+                        yield from flush()
         yield from flush()
 
     return count
@@ -112,7 +116,7 @@ def fit(docs: DataFrame, training: Column, text_col="text", lang_col="lang", k:
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    counts = rows.mapInArrow(_count("lang", "text"), "lang string, code long, n long")
+    counts = rows.mapInArrow(giving_back(_count("lang", "text")), "lang string, code long, n long")
     counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -135,7 +139,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col="doc_id", text_col="text
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (some for whole in batches for some in stretches(whole, 1)):
             found = [shared.value.predict(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b["id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -144,18 +148,18 @@ def predict(docs: DataFrame, profiles: Profiles, id_col="doc_id", text_col="text
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return rows.mapInArrow(giving_back(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def determined(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language :func:`predict` finds. Where nothing was learnt, so that it
     finds none, the rows whose text has a letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared, names = docs.sparkSession.sparkContext.broadcast(profiles), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known = shared.value
-            keep = [known.predict(t)[0] != UNDETERMINED if known.langs else len(top_grams(t, known.k)) > 0 for t in b.column(b.schema.names.index(text_col)).to_pylist()]
+        known, at = shared.value, names.index(text_col)
+        for b in (some for whole in batches for some in stretches(whole, at)):
+            keep = [known.predict(t)[0] != UNDETERMINED if known.langs else len(top_grams(t, known.k)) > 0 for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

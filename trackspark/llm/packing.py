@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trackspark.llm.shared import write_table
+from trackspark.llm.shared import give_back, giving_back, stretches, write_table
 
 WINDOW = 1024
 CACHED_CHUNKS = 600_000
@@ -130,7 +130,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _packs(path: str, end: int, pack_tokens: int, in_turn: int = 1 << 21):
+def _packs(path: str, end: int, pack_tokens: int, in_turn: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         ids, sources, tokens, size = [], [], [], 0
@@ -155,20 +155,14 @@ def _packs(path: str, end: int, pack_tokens: int, in_turn: int = 1 << 21):
 
         last = np.array([end], dtype="<u4").tobytes()
         for b in batches:
-            texts = [t or "" for t in b["text"].to_pylist()]
-            doc_ids, srcs = b["doc_id"].to_pylist(), b["source"].to_pylist()
-            begin = 0
-            while begin < len(texts):  # a bounded stretch of text at a time
-                stop, room = begin, in_turn
-                while stop < len(texts) and (stop == begin or room > 0):
-                    room -= len(texts[stop])
-                    stop += 1
-                for i, t in enumerate(encoder(path).encode(texts[begin:stop]), begin):
-                    ids.append(doc_ids[i]), sources.append(srcs[i]), tokens.append(t + last)
+            for some in stretches(b, b.schema.get_field_index("text"), in_turn):
+                texts = [t or "" for t in some["text"].to_pylist()]
+                for doc_id, source, t in zip(some["doc_id"].to_pylist(), some["source"].to_pylist(), encoder(path).encode(texts), strict=True):
+                    ids.append(doc_id), sources.append(source), tokens.append(t + last)
                     size += len(t) // 4 + 1
                     if size >= pack_tokens:
                         yield out()
-                begin = stop
+                        give_back()
         if ids:
             yield out()
 
@@ -218,7 +212,8 @@ def plan_pack(sources: list, lengths: list[int], owed: dict, window: int = WINDO
 def _fill(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):  # one pack at a time, however many come together
+                row = b.slice(i, 1).to_pylist()[0]
                 width = row["ids"][0]
                 ids = np.frombuffer(row["ids"], dtype=f"<u{width}", offset=1)
                 starts = np.concatenate(([0], np.cumsum(row["lengths"])))
@@ -226,9 +221,9 @@ def _fill(window: int):
                 pieces = plan_pack(row["sources"], row["lengths"], owed, window)
                 lengths = np.bincount([p[3] for p in pieces], [p[2] for p in pieces]).astype(int).tolist() if pieces else []
                 cols = {n: [] for n in ("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length")}
-                for i, start, length, sequence, offset in pieces:
-                    own = ids[starts[i] + start : starts[i] + start + length]
-                    for name, value in zip(cols, (row["doc_ids"][i], row["sources"][i], start, length, zlib.crc32(own.astype("<u4").tobytes()), row["lengths"][i], row["first"] + sequence, offset, lengths[sequence]), strict=True):
+                for d, start, length, sequence, offset in pieces:
+                    own = ids[starts[d] + start : starts[d] + start + length]
+                    for name, value in zip(cols, (row["doc_ids"][d], row["sources"][d], start, length, zlib.crc32(own.astype("<u4").tobytes()), row["lengths"][d], row["first"] + sequence, offset, lengths[sequence]), strict=True):
                         cols[name].append(value)
                 kinds = {n: pa.string() if n == "source" else pa.int64() for n in cols}
                 yield pa.RecordBatch.from_arrays([pa.array(v, kinds[n]) for n, v in cols.items()], names=list(cols))
@@ -276,7 +271,7 @@ def pack_documents(
     source with a third of all rows makes no task larger. Nothing is collected.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    packs = write_table(rows.mapInArrow(_packs(tokenizer_path, end_id, pack_tokens), PACKS), "packs")
+    packs = write_table(rows.mapInArrow(giving_back(_packs(tokenizer_path, end_id, pack_tokens)), PACKS), "packs")
     per_source = (
         packs.select("pack", F.explode(F.arrays_zip("sources", "lengths")).alias("d"))
         .groupBy("pack", F.col("d.sources").alias("source"))
@@ -304,4 +299,4 @@ def pack_documents(
         .agg(F.collect_list(F.struct("source", "share", "owed")).alias("owed"))
     )
     ready = packs.join(before.select("pack", F.col("sequences_before").alias("first")), "pack").join(owed, "pack")
-    return ready.select("doc_ids", "sources", "lengths", "ids", "first", "owed").mapInArrow(_fill(window), PIECES)
+    return ready.select("doc_ids", "sources", "lengths", "ids", "first", "owed").mapInArrow(giving_back(_fill(window)), PIECES)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trackspark.llm import blocks as B
-from trackspark.llm.shared import giving_back
+from trackspark.llm.shared import giving_back, stretches
 
 EDGES = ".,;:!?\"'()[]{}|#$%&*-_=+<>/\\~`"
 
@@ -136,7 +136,7 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, keys, of = shared.value
-            for b in batches:
+            for b in (some for whole in batches for some in stretches(whole, 1)):
                 cols: list[list] = [[] for _ in range(6)]
                 for doc_id, text in zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True):
                     doc = tokens(text)
