@@ -106,6 +106,23 @@ def test_ppm_keeps_every_ngram(spark, block_bytes):
     assert "max_nodes" not in ppm.score_documents.__code__.co_varnames
 
 
+def test_ppm_messages():
+    """N-grams are counted by one sort, and code lengths, of which few differ, travel as a list and places in it."""
+    rnd = random.Random(7)
+    texts = [ppm.coded([bytes(rnd.choice(b"abcde") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(0, 30))]) for _ in range(300)]
+    learnt = [rnd.random() < 0.7 for _ in texts]
+    code, counts = ppm.counted(texts, learnt, 6)
+    assert np.array_equal(code, np.unique(ppm.grams(texts, 6)[0]))
+    u, n = np.unique(ppm.grams([t for t, own in zip(texts, learnt) if own], 6)[0], return_counts=True)
+    assert np.array_equal(code[counts > 0], u) and np.array_equal(counts[counts > 0], n)
+    assert [len(x) for x in ppm.counted([], [], 6)] == [0, 0]
+    for kinds, size in ((1, 0), (1, 9), (200, 5000), (70_000, 200_000)):
+        x = -np.random.default_rng(kinds).random(kinds)[np.random.default_rng(1).integers(0, kinds, size)]
+        assert np.array_equal(ppm.unlisted(ppm.listed(x), size), x)
+    few = -np.random.default_rng(1).random(500)[np.random.default_rng(2).integers(0, 500, 20_000)]
+    assert len(ppm.listed(few)) < len(ppm.squeezed(few)) / 2
+
+
 def test_tiles():
     rnd = random.Random(2)
     for _ in range(40):

@@ -57,8 +57,11 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 def all_orders(code: np.ndarray, order: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of all lengths as numbers that carry their length, and their counts."""
     found, many = [], []
-    u, at = np.unique(code, return_inverse=True)
-    n = np.bincount(at, counts, len(u)).astype(np.int64)
+    if counts is None:
+        u, n = np.unique(code, return_counts=True)  # sorts, which is much faster than the inverse or no counts
+    else:
+        u, at = np.unique(code, return_inverse=True)
+        n = np.bincount(at, counts, len(u)).astype(np.int64)
     for j in range(order, -1, -1):
         if j < order:
             u, at = np.unique(u & np.uint64((1 << (8 * (j + 1))) - 1), return_inverse=True)
@@ -79,6 +82,23 @@ def stretched(data: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T.copy().view(kind).ravel()
 
 
+def listed(x: np.ndarray) -> bytes:
+    """Numbers, of which few differ, as a list of the different ones and each one's place in it."""
+    values, at = np.unique(x.view(np.uint64), return_inverse=True)
+    list_ = squeezed(np.diff(values, prepend=np.uint64(0)))
+    return np.array([len(values), len(list_)], dtype="<u4").tobytes() + list_ + squeezed(at.astype(_place(len(values))))
+
+
+def unlisted(data: bytes, n: int) -> np.ndarray:
+    values, size = np.frombuffer(data, dtype="<u4", count=2).tolist()
+    of = np.cumsum(stretched(data[8 : 8 + size], values, np.uint64), dtype=np.uint64).view(np.float64)
+    return of[stretched(data[8 + size :], n, _place(values))]
+
+
+def _place(values: int) -> str:
+    return "<u1" if values <= 1 << 8 else "<u2" if values <= 1 << 16 else "<u4"
+
+
 class Trie:
     """Code lengths of n-grams. Nodes of order j are contexts of j bytes; a node's bytes are the n-grams above it.
 
@@ -192,6 +212,22 @@ def _codes(texts: list[bytes], order: int) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64), *[grams(part, order)[0] for part in _parts(texts)]])
 
 
+def counted(texts: list[bytes], learnt: list[bool], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts, ascending, and how often those to learn from have each. One sort of n-grams with a last bit
+    that tells whether they are learnt."""
+    code = np.empty(sum(map(len, texts)), dtype=np.uint64)
+    at = done = 0
+    for part in _parts(texts):
+        own = np.repeat(np.array(learnt[done : done + len(part)], dtype=np.uint64), [len(t) for t in part])
+        code[at : at + len(own)] = grams(part, order)[0] << np.uint64(1) | own
+        at, done = at + len(own), done + len(part)
+    code.sort()
+    own = (code & np.uint64(1)).astype(np.uint8)
+    code >>= np.uint64(1)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), dtype=bool), code[1:] != code[:-1])))
+    return code[first], np.add.reduceat(own, first, dtype="<u4") if len(first) else np.empty(0, dtype="<u4")
+
+
 def _by_shard(code: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of ascending n-grams by the shard of their contexts, and where shards end."""
     shard = ((B.mixed(code >> np.uint64(8) & TAIL) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -208,20 +244,14 @@ def code_lengths(table: DataFrame, training, order: int, min_count: int) -> Data
     shards = B.shards_for(table)
     plain = table.select("block", "ids", "texts")
 
-    def learnt(row: dict) -> tuple[list[bytes], list[bytes]]:
-        texts = [coded(t.lower().split()) for t in B.unpack_texts(row["texts"], len(row["ids"]))]
-        return texts, [t for i, t in zip(row["ids"], texts, strict=True) if training(i)]
-
     def shortest(row: dict) -> Iterator[dict]:
-        u, n = all_orders(_codes(learnt(row)[1], min(order, EVERYWHERE)), min(order, EVERYWHERE))
+        own = [coded(t.lower().split()) for i, t in zip(row["ids"], B.unpack_texts(row["texts"], len(row["ids"])), strict=True) if training(i)]
+        u, n = all_orders(_codes(own, min(order, EVERYWHERE)), min(order, EVERYWHERE))
         yield {"gram": u.astype(np.int64), "n": n}
 
     def send(row: dict) -> Iterator[dict]:
-        texts, own = learnt(row)
-        u, n = np.unique(_codes(own, order), return_counts=True)
-        code = np.unique(_codes(texts, order))
-        counts = np.zeros(len(code), dtype="<u4")
-        counts[np.searchsorted(code, u)] = n
+        texts = [coded(t.lower().split()) for t in B.unpack_texts(row["texts"], len(row["ids"]))]
+        code, counts = counted(texts, [training(i) for i in row["ids"]], order)
         by, ends = _by_shard(code, shards)
         code, counts = code[by], counts[by]
         cols: dict[str, list] = {c: [] for c in ("block", "shard", "n", "keys", "counts")}
@@ -246,7 +276,7 @@ def code_lengths(table: DataFrame, training, order: int, min_count: int) -> Data
         first, many = opened(everywhere.value)
         trie = Trie(np.concatenate([first, keys[long]]), np.concatenate([many.astype(np.int64), often[long]]), order, min_count)
         told = ((trie.log10(u).view(np.uint64) + np.uint64(1 << FINE - 1)) >> np.uint64(FINE) << np.uint64(FINE)).view(np.float64)[at]
-        parts = [squeezed(np.ascontiguousarray(p)) for p in np.split(told, np.cumsum(sizes)[:-1])]
+        parts = [listed(p) for p in np.split(told, np.cumsum(sizes)[:-1])]
         return pa.table({"block": t["block"].combine_chunks(), "shard": t["shard"].combine_chunks(), "answer": pa.array(parts, pa.binary())})
 
     return B.each_block(plain, GRAMS, send).groupBy("shard").applyInArrow(answer, ANSWER)
@@ -266,7 +296,7 @@ def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 def score_documents(
     docs: DataFrame, folds: int = 5, held_out: int = 1, id_col="doc_id", text_col="text",
-    order: int = ORDER, min_count: int = 2, block_bytes: int = B.BLOCK_BYTES // 2,
+    order: int = ORDER, min_count: int = 2, block_bytes: int = B.BLOCK_BYTES,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
 
@@ -284,12 +314,17 @@ def score_documents(
     lengths_of = code_lengths(table, training, order, min_count)
     lengths_of = lengths_of.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("codes"))
 
-    def tokens(row: dict) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, B.Shards]:
-        """Words of each document, each token's number among the block's distinct ones, and these."""
-        words = [t.lower().split() for t in B.unpack_texts(row["texts"], len(row["ids"]))]
+    def tokens(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, B.Shards]:
+        """The coded texts, each token's number among the block's distinct ones, how many each text has, and the distinct ones."""
         known: dict[bytes, int] = {END: 0}
-        of = np.array([known.setdefault(w, len(known)) for ws in words for w in (*ws, END)], dtype=np.int64)
-        return words, of, np.array([len(ws) + 1 for ws in words]), B.Shards(B.word_digests(list(known)), shards)
+        texts, parts = [], []
+        for t in B.unpack_texts(row["texts"], len(row["ids"])):
+            words = t.lower().split()
+            texts.append(coded(words))
+            words.append(END)
+            parts.append(np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int32))
+        lengths = np.array([len(p) for p in parts], dtype=np.int64)
+        return texts, np.concatenate([np.empty(0, np.int32), *parts]), lengths, B.Shards(B.word_digests(list(known)), shards)
 
     def send(row: dict) -> Iterator[dict]:
         _, of, lengths, own = tokens(row)
@@ -312,23 +347,23 @@ def score_documents(
     total = B.each_block(plain, "n long", learnt_tokens).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def finish(row: dict) -> Iterator[dict]:
-        words, of, lengths, own = tokens(row)
+        texts, of, lengths, own = tokens(row)
         n = own.answered(row["answers"], np.uint64).astype(float)
         begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         each = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-        texts = [coded(ws) for ws in words]
-        known = np.unique(_codes(texts, order))
+        known = counted(texts, [False] * len(texts), order)[0]
         by, ends = _by_shard(known, shards)
         told, scores = np.empty(len(known)), []
         for r in row["codes"]:
             a, b = ends[r["shard"]], ends[r["shard"] + 1]
-            told[by[a:b]] = stretched(r["answer"], int(b - a), np.float64)
+            told[by[a:b]] = unlisted(r["answer"], int(b - a))
         for part in _parts(texts):
             code, starts = grams(part, order)
-            scores.append(np.add.reduceat(told[np.searchsorted(known, code)], starts))
+            own_grams, at = np.unique(code, return_inverse=True)  # looked up in order, and once each
+            scores.append(np.add.reduceat(told[np.searchsorted(known, own_grams)][at], starts))
         yield {
             "doc_id": row["ids"], "held_out": [crc_remainder(i, folds) == held_out for i in row["ids"]], "n_tokens": lengths,
-            "n_known": np.add.reduceat((n > 0)[of].astype(np.int64), begins), "train_tokens": [total] * len(words),
+            "n_known": np.add.reduceat((n > 0)[of].astype(np.int64), begins), "train_tokens": [total] * len(texts),
             "base_score": np.add.reduceat(each[of], begins), "score": np.concatenate(scores),
         }
 
