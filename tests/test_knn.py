@@ -323,3 +323,59 @@ def test_resolve_sends_few_grams(spark, monkeypatch):
     got = resolve.resolve_songs(asked, catalog, automaton_bytes=-1)
     assert {r.tier: r["count"] for r in got.groupBy("tier").count().collect()} == {2: 1000, 3: 1000}
     assert sent and sent[0] <= 5 * 2000
+
+
+def test_rows_are_shuffled_once_a_chunk(spark, monkeypatch):
+    """However many blocks and hash tables a library has, its rows go past each chunk of seeds once, and a seed is sent once."""
+    m = np.random.default_rng(12).normal(size=(500, 6))
+    lib, sent, plain = vectors(spark, m), [], knn.pass_chunks
+
+    def counted(seeds, library, dims, chunks, *more, **options):
+        sent.append((seeds.count(), library.count() / chunks, chunks))
+        return plain(seeds, library, dims, chunks, *more, **options)
+
+    for module in (knn, hashing):
+        monkeypatch.setattr(module, "BLOCK_ROWS", 16)
+        monkeypatch.setattr(module, "CHUNK_ROWS", 100)
+        monkeypatch.setattr(module, "pass_chunks", counted)
+    assert as_dict(knn.knn_join(knn.build_index(lib, 3), lib, 3)) == brute(m, 3)
+    index = hashing.build_hash_index(lib, 3, tables=4, probes=8, rows_per_bucket=25)
+    assert hashing.approximate_knn_join(index, lib, 3).count() == 1500
+    assert len(sent) == 2 and all(seeds == 500 and rows <= 500 and chunks == 8 for seeds, rows, chunks in sent)
+
+
+def test_floor_and_order_of_blocks_change_nothing():
+    """A seed's best are the same when blocks come one by one, a pair comes twice, or the floor is its worst score."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(13)
+    q, s = unit(rng, 40, 9), np.repeat(unit(rng, 300, 9), 2, axis=0)
+    ids, fields = np.arange(100, 700), (pa.int64(), pa.int64())
+    for metric in knn.METRICS:
+        one = knn._Best(np.arange(40), q, 6, metric, True)
+        one.meet(ids, s, [(np.arange(40), np.arange(600))])
+        want = one.table(fields)
+        worst = want.group_by("query_id").aggregate([("score", "min")]).sort_by("query_id").column("score_min").to_numpy()
+        many = knn._Best(np.arange(40), q, 6, metric, True, worst, repeats=True)
+        for a in (400, 0, 200, 400):
+            many.meet(ids[a : a + 200], s[a : a + 200], [(np.arange(40), np.arange(200))])
+        assert want.num_rows == 240 and many.table(fields).equals(want)
+
+
+def test_vectors_travel_packed():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    double = rng.normal(size=(30, 5))
+    single = double.astype(np.float32).astype(np.float64)
+    assert len(knn._packed(single)[0].as_py()) == 20 and len(knn._packed(double)[0].as_py()) == 40
+    both = pa.chunked_array([knn._packed(single), knn._packed(double), knn._packed(double[:0])])
+    assert (knn._unpacked(both, 5) == np.concatenate([single, double])).all()
+    odd = np.array([[np.nan, 1.0, 1e300, -np.inf, 0.1]])
+    assert np.array_equal(knn._unpacked(knn._packed(odd), 5), odd, equal_nan=True)
+
+
+def test_more_buckets_get_more_probes(spark):
+    """Among random vectors, 64 of 2^12 buckets find less than nine tenths of the neighbours."""
+    lib = vectors(spark, unit(np.random.default_rng(15), 256, 4))
+    assert [hashing.build_hash_index(lib, 3, rows_per_bucket=r).probes for r in (512, 64, 1, 0.25)] == [1, 8, 64, 161]

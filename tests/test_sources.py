@@ -1,5 +1,6 @@
 import json
 import os
+import time
 import wave
 
 import numpy as np
@@ -196,3 +197,19 @@ def test_incremental(spark):
     assert incremental.merged(done, todo.withColumn("x", F.lit(2.0))).count() == 3
     plan = todo._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan
+
+
+def test_shuffles_go_with_the_write_that_needed_them(spark, monkeypatch, tmp_path):
+    """What a kept table was shuffled for is not left on disk, and the setting that does it is as before."""
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path / "cp"))
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {os.path.basename(f) for f in disk.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key, None)
+    kept = session.materialise_table(spark.range(20_000).repartition(7, "id").groupBy((F.col("id") % 900).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(key, None) == was
+    assert kept.agg(F.sum("count")).head()[0] == 20_000

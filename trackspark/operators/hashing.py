@@ -1,9 +1,9 @@
 """Approximate top-k similarity search by hashing with several tables and several probes.
 
 A table hashes a unit vector to the signs of its products with random directions, so vectors at a small angle often fall into one bucket.
-A seed looks into its own bucket of every table and into those that differ in the signs it is least sure of. Buckets with neighbouring codes travel
-together in parcels, to which a seed is sent once with the codes it looks into; parcels are cut into blocks of bounded
-size and meet these seeds by equi-join; everything that meets is scored exactly, so scores are those of the exact
+A seed looks into its own bucket of every table and into those that differ in the signs it is least sure of. Seeds travel once, in chunks of
+bounded size; the library is sent past each chunk once, whatever the number of tables, in blocks of bounded size, without the rows that are in no
+parcel of buckets with neighbouring codes that the chunk looks into. Everything that meets in a bucket is scored exactly, so scores are those of the exact
 search and only neighbours that never met a seed are missing.
 """
 
@@ -16,21 +16,23 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from trackspark.operators.knn import MAX_PARTITIONS, _group_top_k, _lists, _matrix, _points, _top_k
+from trackspark.operators.knn import _Best, _lists, _matrix, _packed, _points, _top_k, chunk_count, pass_chunks
 from trackspark.session import materialise
 
 ROWS_PER_BUCKET = 512  # wanted; decides the number of signs
 MAX_SIGNS = 24
-BLOCK_ROWS = 65_536  # library rows per group, and per parcel on average
-CHUNK_ROWS = 65_536  # seeds per group
+BLOCK_ROWS = 65_536  # library rows in a task's memory, and per parcel on average
+CHUNK_ROWS = 40_960  # seeds in a task's memory
+CHUNK_CODES = 1 << 26  # codes in a task's memory, into which they look
+MANY_SIGNS = 10  # signs of the largest table for which FEW_PROBES are enough
+FEW_PROBES = 64
 _SLICE = 128  # seeds whose probes are in memory at once
 
 
 @dataclass(frozen=True)
 class HashIndex:
-    """A library hashed for :func:`approximate_knn_join`. ``rows``: ``id, point, codes`` (one code per table)."""
+    """A library hashed for :func:`approximate_knn_join`. ``rows``: ``id, packed, codes`` (one code per table)."""
 
     rows: DataFrame
     k_max: int
@@ -56,19 +58,22 @@ def build_hash_index(
     seed: int = 0,
 ) -> HashIndex:
     """Hash a library for cosine search. More ``tables`` and ``probes`` find more and cost more; by default a seed looks into half of
-    the buckets of a small table and never into more than 64 of a large one. Zero vectors have cosine 0 with everything and meet by chance."""
+    the buckets of a small table, then into 64, and of more than 2^10 buckets into a number that grows with their number to the power of 2/3: among random
+    vectors, 64 of 2^13 find three quarters of the neighbours only. Zero vectors have cosine 0 with everything and meet by chance."""
     lib = library.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     stats = lib.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).head()
     signs = int(min(MAX_SIGNS, max(1, np.ceil(np.log2(max(1, stats.n) / rows_per_bucket)) + 2)))
-    probes = min(64, 1 << (signs - 1)) if probes is None else probes
+    if probes is None:
+        probes = min(FEW_PROBES, 1 << (signs - 1)) if signs <= MANY_SIGNS else round(FEW_PROBES * 4 ** ((signs - MANY_SIGNS) / 3))
     directions = np.random.default_rng(seed).standard_normal((tables, signs, (stats.d or 0) + 2))
-    schema = T.StructType([T.StructField("id", lib.schema["id"].dataType), T.StructField("point", T.ArrayType(T.DoubleType())), T.StructField("codes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", lib.schema["id"].dataType), T.StructField("packed", T.BinaryType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                p = _points(_matrix(b.column("v")), "cosine", 0)
-                yield pa.RecordBatch.from_arrays([b.column("id"), _lists(p), _lists(_codes(p, directions)[0].astype(np.int64))], ["id", "point", "codes"])
+                m = _matrix(b.column("v"))
+                codes = _codes(_points(m, "cosine", 0), directions)[0]
+                yield pa.RecordBatch.from_arrays([b.column("id"), _packed(m), _lists(codes.astype(np.int32))], ["id", "packed", "codes"])
 
     parcel_signs = min(signs, max(0, -(-stats.n // BLOCK_ROWS) - 1).bit_length())
     return HashIndex(lib.mapInArrow(run, schema), k_max, directions, max(1, probes), parcel_signs)
@@ -88,14 +93,13 @@ def probe_codes(codes: np.ndarray, products: np.ndarray, probes: int) -> np.ndar
     return codes[:, :, None] ^ np.take_along_axis(flips, best, axis=2)
 
 
-def asked_parcels(index: HashIndex, q: DataFrame) -> DataFrame:
-    """A row for each seed (``query_id, v``) and parcel it looks into: ``query_id, point, hash_table, parcel, codes``."""
+def asked_parcels(index: HashIndex, q: DataFrame, places_only: bool = False) -> DataFrame:
+    """A row for each seed (``query_id, v``) and parcel it looks into: ``query_id, point, hash_table, parcel, codes``; with
+    ``places_only`` without point and codes."""
     directions, probes = index.directions, index.probes
     shift = directions.shape[1] - index.parcel_signs
-    schema = T.StructType([
-        q.schema["query_id"], T.StructField("point", T.ArrayType(T.DoubleType())), T.StructField("hash_table", T.IntegerType()),
-        T.StructField("parcel", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType())),
-    ])
+    heavy = [] if places_only else [T.StructField("point", T.ArrayType(T.DoubleType())), T.StructField("codes", T.ArrayType(T.LongType()))]
+    schema = T.StructType([q.schema["query_id"], T.StructField("hash_table", T.IntegerType()), T.StructField("parcel", T.LongType()), *heavy])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,8 +113,9 @@ def asked_parcels(index: HashIndex, q: DataFrame) -> DataFrame:
                 begins[::width] = True
                 at = np.nonzero(begins)[0]
                 row, table = np.divmod(at // width, looked.shape[1])
-                codes = pa.ListArray.from_arrays(pa.array(np.append(at, len(parcel)).astype(np.int32)), pa.array(looked.reshape(-1)))
-                columns = [b.column("query_id").take(pa.array(row + a)), _lists(p[row]), pa.array(table.astype(np.int32)), pa.array(parcel[at]), codes]
+                columns = [b.column("query_id").take(pa.array(row + a)), pa.array(table.astype(np.int32)), pa.array(parcel[at])]
+                if not places_only:
+                    columns += [_lists(p[row]), pa.ListArray.from_arrays(pa.array(np.append(at, len(parcel)).astype(np.int32)), pa.array(looked.reshape(-1)))]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return q.mapInArrow(run, schema)
@@ -124,64 +129,75 @@ def approximate_knn_join(index: HashIndex, seeds: DataFrame, k: int, exclude_sel
     if k > index.k_max:
         raise ValueError(f"k={k} exceeds the index's k_max={index.k_max}")
     q = seeds.select(F.col(id_col).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
-    where = ["hash_table", "parcel"]
-    asking, shift = asked_parcels(index, q), index.directions.shape[1] - index.parcel_signs
-    held = index.rows.select("id", "point", F.posexplode("codes").alias("hash_table", "code")).withColumn("parcel", F.shiftright("code", shift))
-    sizes = index.rows.select(F.posexplode("codes").alias("hash_table", "code")).groupBy("hash_table", F.shiftright("code", shift).alias("parcel")).agg(F.count("*").alias("n"))
-    asked = asking.groupBy(*where).agg(F.count("*").alias("m"))
-    # Only parcels that somebody looks into, with the blocks and chunks that bound a group on both sides: a row for each BLOCK_ROWS rows.
-    cut = materialise(
-        sizes.join(asked, where).select(*where, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("m") / CHUNK_ROWS).cast("int").alias("chunks"))
-    )
-    groups = cut.agg(F.coalesce(F.sum(F.col("blocks") * F.col("chunks")), F.lit(0))).head()[0]
-    cores = q.sparkSession.sparkContext.defaultParallelism
-    finer = F.lit(-(-cores // max(1, groups)))  # few groups: smaller ones, so that no core idles
-    cut = F.broadcast(cut.withColumn("chunks", (F.col("chunks") * finer).cast("int")))
-    left = (
-        asking.join(cut, where)
-        .withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    right = (
-        held.join(cut, where)
-        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    )
-    qt, st = q.schema["query_id"].dataType, index.rows.schema["id"].dataType
-    fields = (to_arrow_type(qt), to_arrow_type(st))
-    out = T.StructType([T.StructField("query_id", qt), T.StructField("id", st), T.StructField("score", T.DoubleType())])
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table([pa.array([], fields[0]), pa.array([], fields[1]), pa.array([], pa.float64())], names=["query_id", "id", "score"])
-        return _group_top_k(a, b, _by_bucket(a, b), k, "cosine", exclude_self, fields)
-
-    key = [*where, "block", "chunk"]
-    # Work per group is large compared with its bytes, so groups must not be merged by size.
-    parts = max(1, min(int(groups) * -(-cores // max(1, int(groups))), MAX_PARTITIONS))
-    left, right = (side.repartition(parts, *key) for side in (left.select("query_id", "point", "codes", *key), right.select("id", "point", "code", *key)))
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, out)
+    tables, signs = index.directions.shape[:2]
+    shift = signs - index.parcel_signs
+    chunks = chunk_count(q.count(), k, q.sparkSession, min(CHUNK_ROWS, CHUNK_CODES // (tables * index.probes)))
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk")
+    wanted = np.zeros((chunks, tables, 1 << index.parcel_signs), bool)
+    for r in asked_parcels(index, q, places_only=True).select(chunk, "hash_table", "parcel").distinct().collect():
+        wanted[r.chunk, r.hash_table, r.parcel] = True
+
+    packed = T.StructField("packed", T.BinaryType())
+    seed_schema = T.StructType([q.schema["query_id"], packed])
+    row_schema = T.StructType([index.rows.schema["id"], packed, T.StructField("has", T.ArrayType(T.IntegerType())), T.StructField("chunk", T.IntegerType()), T.StructField("place", T.LongType())])
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("query_id"), _packed(_matrix(b.column("v")))], seed_schema.names)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = _codes_of(b.column("codes"))
+                for c in range(chunks):
+                    i = np.nonzero(wanted[c][np.arange(tables), codes >> shift].any(axis=1))[0]
+                    there = b.take(pa.array(i))
+                    columns = [there.column("id"), there.column("packed"), there.column("codes"), pa.array(np.full(len(i), c, np.int32)), pa.array(codes[i, 0].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, row_schema.names)
+
+    asking = q.mapInArrow(compact, seed_schema).select("query_id", "packed", F.lit(float("-inf")).alias("floor"), F.lit(None).cast("binary").alias("asks"), chunk)
+    held = index.rows.select("id", "packed", "codes").mapInArrow(sent, row_schema)
+    met = pass_chunks(asking, held, index.directions.shape[2] - 2, chunks, k, "cosine", exclude_self, _by_bucket(index), BLOCK_ROWS, repeats=True)
     return _top_k(met.repartition("query_id").dropDuplicates(["query_id", "id"]), k)
 
 
-def _by_bucket(seeds: pa.Table, block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The seeds that look into each bucket of a block, and the bucket's rows."""
-    asked = seeds.column("codes").combine_chunks()
-    row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
-    code = asked.flatten().to_numpy()
-    order = np.argsort(code, kind="stable")
-    row, code = row[order], code[order]
-    own = block.column("code").to_numpy()
-    held = np.argsort(own, kind="stable")
-    buckets, begins = np.unique(own[held], return_index=True)
-    for bucket, cols in zip(buckets, np.split(held, begins[1:])):
-        a, b = np.searchsorted(code, [bucket, bucket + 1])
-        if a < b:
-            yield row[a:b], cols
+def _codes_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _by_bucket(index: HashIndex):
+    """The seeds that look into each bucket of a block, and the bucket's rows. A pair comes once for each table where it meets."""
+    directions, probes = index.directions, index.probes
+
+    def meetings(seeds: pa.Table, best: _Best):
+        asked = []  # for each table the seeds in order of the codes they look into, the codes, and where they begin
+        for one in directions:
+            parts = [probe_codes(*_codes(best.q[a : a + _SLICE], one[None]), probes)[:, 0].astype(np.int32) for a in range(0, len(best.q), _SLICE)]
+            code = np.concatenate(parts)
+            order = np.argsort(code, axis=None, kind="stable")
+            values, begins = np.unique(code.reshape(-1)[order], return_index=True)
+            asked.append(((order // code.shape[1]).astype(np.uint16 if len(code) <= 1 << 16 else np.int32), values, np.append(begins, len(order))))
+
+        def meet(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            codes = _codes_of(block.column("has"))
+            for (row, values, first), own in zip(asked, codes.T):
+                held = np.argsort(own, kind="stable")
+                buckets, begins = np.unique(own[held], return_index=True)
+                begins = np.append(begins, len(held))
+                _, i, j = np.intersect1d(values, buckets, assume_unique=True, return_indices=True)
+                for a, b, c, d in zip(first[i].tolist(), first[i + 1].tolist(), begins[j].tolist(), begins[j + 1].tolist()):
+                    yield row[a:b].astype(np.int64), held[c:d]
+
+        return meet
+
+    return meetings
 
 
 def recall(index: HashIndex, seeds: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """One row ``n_queries, wanted, found``: how many of the exact neighbours (``query_id, id``) the hashed search finds."""
-    near = approximate_knn_join(index, seeds, k).select("query_id", "id", F.lit(1).alias("hit"))
-    both = exact.select("query_id", "id").join(near, ["query_id", "id"], "left")
+    # One search at a time: what either shuffles is gone before the other begins.
+    near = materialise(approximate_knn_join(index, seeds, k).select("query_id", "id", F.lit(1).alias("hit")))
+    both = materialise(exact.select("query_id", "id")).join(near, ["query_id", "id"], "left")
     return both.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("wanted"), F.count("hit").alias("found"))
