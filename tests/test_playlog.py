@@ -258,3 +258,16 @@ def test_queue_rules(spark):
     df = spark.createDataFrame([(near, [1, 2], 3)], "near array<struct<id:int,score:double>>, history array<int>, seed int")
     got = df.select(queue.pick_queue(F.col("near"), F.col("history"), F.col("seed"), 4, 2).alias("q")).head().q
     assert [e.id for e in got] == [0, 4]  # asked: 0 3 4 5
+
+
+def test_auto_played_keeps_the_log_by_column(spark, monkeypatch):
+    """The log with its histories and the neighbours are kept as columns, and what the search shuffles is gone before the queues are built."""
+    kept, plain = [], listening.materialise_table
+    monkeypatch.setattr(listening, "materialise_table", lambda df: kept.append(df.columns) or plain(df))
+    plays = spark.range(60).select(
+        (F.col("id") % 3).alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"), (F.col("id") % 7).alias("song"), (F.col("id") % 5 != 0).alias("is_auto")
+    )
+    lib = spark.range(7).select("id", F.array(F.col("id") + 1.0, F.lit(2.0), F.col("id") * F.col("id") * 0.5).alias("vector"))
+    got = listening.auto_played(plays, lib, request=3, size=2, overfetch=1, history_size=3, refresh_every=3)
+    assert got.count() == 48 and got.where("next_id is not null").count() > 20
+    assert len(kept) == 2 and "history" in kept[0] and set(kept[1]) >= {"query_id", "id", "score"}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackspark.operators import history, knn, ordered, playback, queue
 from trackspark.operators.skew import HOT_ROWS
-from trackspark.session import materialise
+from trackspark.session import materialise, materialise_table
 from trackspark.schema import (
     HISTORY_SIZE,
     OVERFETCH,
@@ -71,7 +71,7 @@ def auto_played(
     numbered = keep(playback.auto_advances(logged, refresh_every=refresh_every, slices=slices))
     # A queue is known by the row that built it.
     starts = F.col("slot") == 0
-    numbered = materialise(
+    numbered = materialise_table(
         ordered.last_known(numbered, slices, F.when(starts, F.col("event_id")), "built_at").withColumn(
             "history", F.when(starts, F.col("history"))
         )
@@ -80,7 +80,7 @@ def auto_played(
         "user_id", *order, "is_auto", F.col("song").alias("seed"), "history"
     )
     index = index or knn.build_index(library, k)
-    near = neighbours_of_seeds(builders, library, index, k)
+    near = materialise_table(neighbours_of_seeds(builders, library, index, k))  # what the search shuffles goes before the log is shuffled
     built = queue.queues(builders, near, request, size, "event_id", hot_rows).drop("history", "seed")
     # An empty queue is not rebuilt before the next manual start, nor is there a queue
     # before the first one.
