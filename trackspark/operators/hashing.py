@@ -25,6 +25,7 @@ MAX_SIGNS = 24
 BLOCK_ROWS = 65_536  # library rows in a task's memory, and per parcel on average
 CHUNK_ROWS = 40_960  # seeds in a task's memory
 CHUNK_CODES = 1 << 26  # codes in a task's memory, into which they look
+ALL_ASKED = 1 << 14  # codes that a chunk's seeds look into for each parcel, from which on the library is sent whole
 MANY_SIGNS = 10  # signs of the largest table for which FEW_PROBES are enough
 FEW_PROBES = 64
 _SLICE = 128  # seeds whose probes are in memory at once
@@ -88,7 +89,9 @@ def probe_codes(codes: np.ndarray, products: np.ndarray, probes: int) -> np.ndar
     sets = [c for r in range(min(4, width) + 1) for c in combinations(range(width), r)]
     cost = np.take_along_axis(products**2, weak, axis=2)[:, :, :width]
     member = np.array([[i in c for i in range(width)] for c in sets], dtype=np.float64)
-    best = np.argsort(cost @ member.T, axis=2, kind="stable")[:, :, : min(probes, len(sets))]
+    total, m = cost @ member.T, min(probes, len(sets))
+    best = np.sort(np.argpartition(total, m - 1, axis=2)[:, :, :m], axis=2)
+    best = np.take_along_axis(best, np.argsort(np.take_along_axis(total, best, axis=2), axis=2, kind="stable"), axis=2)
     flips = (1 << weak[:, :, :width]) @ member.T.astype(np.int64)
     return codes[:, :, None] ^ np.take_along_axis(flips, best, axis=2)
 
@@ -131,11 +134,15 @@ def approximate_knn_join(index: HashIndex, seeds: DataFrame, k: int, exclude_sel
     q = seeds.select(F.col(id_col).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
     tables, signs = index.directions.shape[:2]
     shift = signs - index.parcel_signs
-    chunks = chunk_count(q.count(), k, q.sparkSession, min(CHUNK_ROWS, CHUNK_CODES // (tables * index.probes)))
+    n = q.count()
+    chunks = chunk_count(n, k, q.sparkSession, min(CHUNK_ROWS, CHUNK_CODES // (tables * index.probes)))
     chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk")
-    wanted = np.zeros((chunks, tables, 1 << index.parcel_signs), bool)
-    for r in asked_parcels(index, q, places_only=True).select(chunk, "hash_table", "parcel").distinct().collect():
-        wanted[r.chunk, r.hash_table, r.parcel] = True
+    # So many seeds look into every parcel, and there is nothing to leave out.
+    every = n * index.probes > chunks * (ALL_ASKED << index.parcel_signs)
+    wanted = np.full((chunks, tables, 1 << index.parcel_signs), every)
+    if not every:
+        for r in asked_parcels(index, q, places_only=True).select(chunk, "hash_table", "parcel").distinct().collect():
+            wanted[r.chunk, r.hash_table, r.parcel] = True
 
     packed = T.StructField("packed", T.BinaryType())
     seed_schema = T.StructType([q.schema["query_id"], packed])
@@ -174,11 +181,15 @@ def _by_bucket(index: HashIndex):
     def meetings(seeds: pa.Table, best: _Best):
         asked = []  # for each table the seeds in order of the codes they look into, the codes, and where they begin
         for one in directions:
-            parts = [probe_codes(*_codes(best.q[a : a + _SLICE], one[None]), probes)[:, 0].astype(np.int32) for a in range(0, len(best.q), _SLICE)]
-            code = np.concatenate(parts)
-            order = np.argsort(code, axis=None, kind="stable")
-            values, begins = np.unique(code.reshape(-1)[order], return_index=True)
-            asked.append(((order // code.shape[1]).astype(np.uint16 if len(code) <= 1 << 16 else np.int32), values, np.append(begins, len(order))))
+            width = probe_codes(*_codes(best.q[:1], one[None]), probes).shape[2]
+            code = np.empty((len(best.q), width), np.int32)
+            for a in range(0, len(best.q), _SLICE):
+                code[a : a + _SLICE] = probe_codes(*_codes(best.q[a : a + _SLICE], one[None]), probes)[:, 0]
+            row = np.argsort(code, axis=None, kind="stable")
+            row //= width
+            row = row.astype(np.uint16 if len(code) <= 1 << 16 else np.int32)
+            values, counts = np.unique(code, return_counts=True)
+            asked.append((row, values, np.append(0, np.cumsum(counts))))
 
         def meet(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             codes = _codes_of(block.column("has"))
